@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import decontaminate, licenses, secrets
 
-MODULES = (licenses, secrets)
+MODULES = (licenses, decontaminate, secrets)
 
 
 def queries() -> dict:
