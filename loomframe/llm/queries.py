@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets
+from . import bpe, decontaminate, licenses, secrets
 
-MODULES = (licenses, decontaminate, secrets)
+MODULES = (bpe, licenses, decontaminate, secrets)
 
 
 def queries() -> dict:
