@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, secrets
+from . import bpe, decontaminate, licenses, secrets, tokenfile
 
-MODULES = (bpe, licenses, decontaminate, secrets)
+MODULES = (bpe, licenses, tokenfile, decontaminate, secrets)
 
 
 def queries() -> dict:
