@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, secrets, tokenfile
+from . import bpe, decontaminate, licenses, secrets, tokenfile, toxicity
 
-MODULES = (bpe, licenses, tokenfile, decontaminate, secrets)
+MODULES = (bpe, toxicity, licenses, tokenfile, decontaminate, secrets)
 
 
 def queries() -> dict:
