@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, licenses, secrets, tokenfile, toxicity
+from . import bpe, decontaminate, embeddings, licenses, minhash, secrets, tokenfile, toxicity
 
-MODULES = (bpe, toxicity, licenses, embeddings, tokenfile, decontaminate, secrets)
+MODULES = (minhash, bpe, toxicity, licenses, embeddings, tokenfile, decontaminate, secrets)
 
 
 def queries() -> dict:
