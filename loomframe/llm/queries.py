@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, language_model, licenses, minhash, secrets, tokenfile, toxicity
+from . import bpe, decontaminate, embeddings, language_model, licenses, lines, minhash, secrets, tokenfile, toxicity
 
-MODULES = (minhash, bpe, toxicity, licenses, embeddings, tokenfile, language_model, decontaminate, secrets)
+MODULES = (minhash, bpe, toxicity, licenses, embeddings, lines, tokenfile, language_model, decontaminate, secrets)
 
 
 def queries() -> dict:
