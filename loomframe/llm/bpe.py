@@ -17,6 +17,7 @@ repeated results; other columns are kept by `encode` where asked for.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 
@@ -186,11 +187,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), run, ddl)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Count and hashes of ids and text."""
-    import hashlib
-
-    schema = arrow_schema(ddl := "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(decoded: DataFrame, *, with_ids: bool = False) -> DataFrame:
+    """Count and hashes of ids and text, and the ids where asked for."""
+    schema = arrow_schema(ddl := "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batch):
         ids, texts = batch.column(1), batch.column(2)
@@ -198,7 +197,7 @@ def digests(decoded: DataFrame) -> DataFrame:
         said = [b"%d," % i for i in range(int(flat.max()) + 1)] if len(flat) else []
         one = lambda a, z: hashlib.sha256(b"".join(map(said.__getitem__, flat[a:z].tolist()))[:-1]).hexdigest()
         spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
-        return T.batches_of([batch.column(0), np.diff(off), [one(a, z) for a, z in spans], [hashlib.sha256(x.as_py().encode()).hexdigest() for x in texts]], schema.names, schema)
+        return T.batches_of([batch.column(0), np.diff(off), [one(a, z) for a, z in spans], [hashlib.sha256(x.as_py().encode()).hexdigest() for x in texts], *[ids] * with_ids], schema.names, schema)
 
     return map_batches(decoded, run, ddl)
 
