@@ -5,44 +5,27 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 #: Rows of an Arrow batch that goes to Python, and its bytes where Spark knows that setting.
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
 
 
-_shipped: set[str] = set()
-
-
-def shipped(spark: SparkSession) -> SparkSession:
-    """The package is sent to the Python workers once an application, so they need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        to = Path(tempfile.mkdtemp(prefix="loomframe-")) / "loomframe.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(to))
-        _shipped.add(sc.applicationId)
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded(spark: SparkSession) -> SparkSession:
     """Batches sent to Python hold few enough rows that long texts fit in a worker's memory."""
-    shipped(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
