@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .common import arrow_schema, map_batches, table
 
 #: Fixed value: the byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Remembered pieces and chunks of a worker.
-MEMORY = 250_000
+#: Texts that a worker remembers, in each of two memories; the second holds few in practice.
+MEMORY = 400_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -53,18 +54,20 @@ class Bpe:
         symbol = byte_symbols()
         byte_of = {c: b for b, c in symbol.items()}
         self.byte_id = [vocab[symbol[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}  # two ids in one number
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank_of.setdefault(vocab[a] << 20 | vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._split = regex.compile(PATTERN)
         self._uncut = regex.compile(r" \s|\s ")
-        self._piece: dict[str, bytes] = {}
-        self._chunk: dict[str, bytes] = {}
+        self._spaced: dict[str, bytes] = {}  # what stands after a space, by its text without the space
+        self._other: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -72,43 +75,54 @@ class Bpe:
         n = len(ids)
         if n < 2:
             return ids
-        merges = self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-        for i in range(n - 1):
-            m = merges.get((ids[i], ids[i + 1]))
-            if m:
-                heap.append((m[0], i, ids[i], ids[i + 1], m[1]))
+        rank_of, made = self.rank_of.get, self.made
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        best = [rank_of(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # noqa: B905  rank of each symbol with the next
+        best.append(-1)
+        heap = [r << shift | i for i, r in enumerate(best) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            x = heapq.heappop(heap)
+            i, r = x & mask, x >> shift
+            if best[i] != r:
                 continue  # stale
-            ids[i], ids[j] = made, -1
+            j = after[i]
+            ids[i] = new = made[r]
+            ids[j] = best[j] = -1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                m = merges.get((made, ids[k]))
-                if m:
-                    heapq.heappush(heap, (m[0], i, made, ids[k], m[1]))
+                best[i] = r = rank_of(new << 20 | ids[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | i)
+            else:
+                best[i] = -1
             h = before[i]
             if h >= 0:
-                m = merges.get((ids[h], made))
-                if m:
-                    heapq.heappush(heap, (m[0], h, ids[h], made, m[1]))
+                best[h] = r = rank_of(ids[h] << 20 | new, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | h)
         return [x for x in ids if x >= 0]
 
+    @staticmethod
+    def _remember(known: dict[str, bytes], key: str, got: bytes) -> None:
+        """A full memory loses the older half of its entries."""
+        if len(key) <= 64:
+            if len(known) >= MEMORY:
+                for old in list(islice(known, MEMORY // 2)):
+                    del known[old]
+            known[key] = got
+
     def _pieces(self, chunk: str) -> bytes:
-        out, known = [], self._piece
+        out = []
         for piece in self._split.findall(chunk):
-            got = known.get(piece)
+            known, key = (self._spaced, piece[1:]) if piece[0] == " " else (self._other, piece)
+            got = known.get(key)
             if got is None:
                 got = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), np.int32).tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[piece] = got
+                self._remember(known, key, got)
             out.append(got)
         return b"".join(out)
 
@@ -116,19 +130,15 @@ class Bpe:
         if self._uncut.search(x):
             return self._pieces(x)
         words = x.split(" ")
-        known, out = self._chunk, []
-        first = True
-        for w in words:
-            key = w if first else " " + w
-            first = False
-            got = known.get(key)
-            if got is None:
-                got = self._pieces(key)
-                if len(key) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[key] = got
-            out.append(got)
+        known = self._spaced
+        out = list(map(known.get, words))
+        out[0] = self._pieces(words[0])
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    out[i] = got = self._pieces(" " + words[i])
+                    if words[i] not in known:
+                        self._remember(known, words[i], got)
         return b"".join(out)
 
     def encode(self, x: str) -> np.ndarray:
@@ -181,7 +191,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batch):
         bpe = loaded(path)
-        texts = [bpe.decode(x.values.to_pylist() if x.is_valid else ()) for x in batch.column(1)]
+        texts = [bpe.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(1)]
         return T.batches_of([batch.column(0), batch.column(1), texts], schema.names, schema)
 
     return map_batches(encoded.select("doc_id", "ids"), run, ddl)
