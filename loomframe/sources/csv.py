@@ -34,7 +34,7 @@ def _clean(c: Column, o: CsvOptions) -> Column:
 
 
 def _is_int(c: Column) -> Column:
-    return c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()
+    return F.when(c.isNotNull(), c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull())
 
 
 def _is_float(c: Column) -> Column:
