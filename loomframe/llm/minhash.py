@@ -6,11 +6,12 @@ ROWS coordinates make a band; two sets that agree in a band are candidates. With
 of 4 a pair at Jaccard 0.75 is missed with a chance of 5e-6.
 
 Sets that are equal are one class from the start, so any number of copies is one
-candidate. Within a band's bucket no pairs are enumerated: all classes are compared with
-one hub, the links found are joined up into components, and only buckets in which
-several components remain go on, with another hub. When few pairs across components
-remain, those are compared all. So no link that connects is left out, and a bucket of n
-classes costs about n comparisons. Jaccard is taken on the whole sets, from the texts.
+candidate. First all classes of a bucket are compared with one hub, its smallest, and the
+links are joined up into components: a bucket of n near copies costs n comparisons. Only
+buckets in which several components remain go on. Their classes, with what they share
+buckets with, are dealt into blocks, and tiles of two blocks compare the candidates
+that are not yet in one component; a tile gives the links that join components and never
+lists pairs. Jaccard is taken on the whole sets, from the texts.
 
 Defined results: null texts, and texts without words, have an empty set and link with
 nothing; a text of fewer than five words has its whole sequence as its one shingle; rows
@@ -33,10 +34,10 @@ from .components import components
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-#: Pairs across components that are compared at once, for each class in a bucket that is still open.
-FINISH = 4
-#: Hubs tried before all remaining pairs are compared.
-HUBS = 8
+#: Sets of a block, on average.
+BLOCK = 64
+#: Ids up to which a join sends them to every executor: 8 bytes each.
+SMALL_ROWS = 1_000_000
 
 _STEP = np.uint32(0x9E3779B1)
 SIGNED = "doc_id long, n_shingles long, set_key string, bands array<long>"
@@ -85,6 +86,14 @@ def sign(docs: DataFrame, *, width: int = WIDTH, bands: int = BANDS, rows: int =
     return map_batches(docs, run, SIGNED)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union; an empty one has no link."""
+    merged = np.concatenate([x, y])
+    merged.sort()
+    common = int((merged[1:] == merged[:-1]).sum())
+    return len(merged) > 0 and 100 * common >= percent * (len(merged) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
@@ -99,54 +108,85 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             a, b = (T.shingles(T.words_of(d[o[i] : o[j]], o[i : j + 1] - o[i], T.SPACED), width) for d, o in ((left, off_l), (right, off_r)))
             for k in range(j - i):
                 x, y = (v[s[k] : s[k + 1]] for v, s in (a, b))
-                merged = np.concatenate([x, y])
-                merged.sort()
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep[i + k] = len(merged) > 0 and 100 * common >= percent * (len(merged) - common)
+                keep[i + k] = _linked(x, y, percent)
         ids = batch.select(["u", "v"]).filter(pa.array(keep))
         return T.batches_of([ids.column(0), ids.column(1)], schema.names, schema)
 
     return map_batches(both, check, "u long, v long")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where its counted ids are few; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def _joined(row: dict, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of a tile that join two of its components: a forest, no pairs of one component."""
+    left, right = row["a"], row.get("b")
+    both = [*left, *(right or ())]
+    data, off = T.column_bytes(pa.array([r["text"] for r in both], pa.string()))
+    sets = []
+    for i, j in T.runs(off):
+        value, start = T.shingles(T.words_of(data[off[i] : off[j]], off[i : j + 1] - off[i], T.SPACED), width)
+        sets += [value[a:z] for a, z in zip(start[:-1], start[1:], strict=True)]
+    size = np.array([len(x) for x in sets])
+    keys = np.array([r["bands"] for r in both], np.int64)
+    nodes = [r["node"] for r in both]
+    label = np.unique([r["root"] for r in both], return_inverse=True)[1]
+    n, links = len(left), []
+    for i in range(n):
+        first = i + 1 if right is None else n
+        fits = 100 * np.minimum(size[first:], size[i]) >= percent * np.maximum(size[first:], size[i])
+        fits &= label[first:] != label[i]
+        fits &= (keys[first:] == keys[i]).any(axis=1)
+        for j in (np.flatnonzero(fits) + first).tolist():
+            if label[j] != label[i] and _linked(sets[i], sets[j], percent):
+                links.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _tiles(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among members(part, node, root, bands, text) that share a band, by tiles of two blocks of a part."""
+    schema = arrow_schema("u long, v long")
+    blocks = members.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
+    dealt = members.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    packed = stored(dealt.groupBy("part", "block", "n_blocks").agg(F.collect_list(F.struct("node", "root", "bands", "text")).alias("a")))  # about BLOCK rows each, by hash
+
+    def run(batch):
+        links = [x for row in batch.to_pylist() for x in _joined(row, width, percent)]
+        return T.batches_of([[u for u, _ in links], [v for _, v in links]], schema.names, schema)
+
+    own = map_batches(packed.select("a"), run, "u long, v long")
+    cross = packed.select("part", "a", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("other"), "block").where("other > block")
+    other = packed.where("block > 0").select("part", F.col("block").alias("other"), F.col("a").alias("b"))
+    return own.unionByName(map_batches(cross.join(other, ["part", "other"]).select("a", "b"), run, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id, kept."""
     given = id_and_text(docs, id_col, text_col)
     signed = stored(sign(given, width=width, bands=bands, rows=rows))
     classes = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
-    opened = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    counted = opened.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    opened = stored(opened.join(counted, "bucket").withColumn("root", F.col("node")))
-    texts = given.where("doc_id is not null")
-    edges, roots = None, None
-    for hub in range(HUBS + 1):
-        load = opened.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("n * n > squares")
-        load = stored(load)
-        total = load.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
-        if not total.n:
-            break
-        opened = opened.join(load.select("bucket"), "bucket")
-        last = total.pairs <= FINISH * total.n or hub == HUBS
-        if last:  # all that is left: pairs of different components in a bucket
-            other = opened.select("bucket", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
-            pairs = opened.select("bucket", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("root").alias("u_root")).join(other, "bucket").where("u < v and u_root <> v_root")
-        else:
-            order = F.xxhash64("node", F.lit(hub)) if hub else F.col("node")
-            hubs = opened.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "size", "root")).alias("h")).select("bucket", F.col("h.node").alias("u"), F.col("h.size").alias("u_size"), F.col("h.root").alias("u_root"))
-            pairs = opened.select("bucket", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root")).join(hubs, "bucket").where("u <> v and u_root <> v_root")
-        able = pairs.where(100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = stored(_confirmed(able, texts, width, percent))
-        edges, roots = found if edges is None else edges.unionByName(found), None
-        if last:
-            break
-        roots = stored(components(edges))
-        opened = stored(opened.drop("root").join(roots.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    out = signed.join(classes.select("set_key", "node"), "set_key", "left")
-    if edges is not None:
-        out = out.join(roots or components(edges), "node", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    listed = classes.select("node", "size", F.explode("bands").alias("bucket"))
+    shared = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("hub")).where("n > 1").select("bucket", F.col("hub.node").alias("u"), F.col("hub.size").alias("u_size"))
+    opened = stored(listed.join(shared, "bucket"))
+    chosen = stored(opened.select(F.col("node").alias("doc_id")).distinct())
+    texts = stored(given.join(_few(chosen), "doc_id"))
+
+    able = opened.where((F.col("node") != F.col("u")) & (100 * F.least("size", "u_size") >= percent * F.greatest("size", "u_size"))).select("u", F.col("node").alias("v")).distinct()
+    star = stored(_confirmed(able, texts, width, percent))
+    roots = stored(components(star))
+
+    rooted = opened.join(roots.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rest = stored(rooted.join(apart, "bucket").select("node", "u", "root").distinct())
+    parts = components(rest.select(F.col("node").alias("u"), F.col("u").alias("v")))
+    members = rest.select("node", "root").distinct().join(parts.select("node", F.col("component").alias("part")), "node").join(classes.select("node", "bands"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    edges = star.unionByName(stored(_tiles(members, width, percent)))
+
+    out = signed.join(classes.select("set_key", "node"), "set_key", "left").join(components(edges), "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
