@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casts import dtype_name
 from ..plans.predicates import Predicate
 
 
@@ -58,6 +59,18 @@ def shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
 
 
+def dtypes(df: DataFrame) -> dict[str, str]:
+    """int64, float64, bool, string, time or any, by column."""
+    return {f.name: dtype_name(f.dataType) for f in df.schema}
+
+
+def preview(df: DataFrame, by: str | None = None, n: int = 10) -> str:
+    """The first rows as text, cells apart by tabs, null as <null>."""
+    rows = (df.orderBy(by) if by else df).limit(n).collect()
+    lines = [df.columns, *([("<null>" if v is None else str(v)) for v in r] for r in rows)]
+    return "\n".join("\t".join(x) for x in lines)
+
+
 def info(df: DataFrame) -> DataFrame:
     """column, dtype, rows and nulls of every column, in one pass."""
     kinds = dict(df.dtypes)

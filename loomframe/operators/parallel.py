@@ -9,6 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.predicates import Predicate
+from . import frame
+
 
 class Pool:
     """A number of partitions to work in; none, or less than one, leaves partitioning to Spark."""
@@ -41,6 +44,13 @@ class Pool:
     def filter(self, df: DataFrame, name: str, condition: Column) -> DataFrame:
         return df.where(F.col(name).isNotNull() & condition)
 
+    def apply(self, df: DataFrame, name: str, fn: Callable[[Column], Column]) -> DataFrame:
+        """A column put through fn, which sees nulls."""
+        return frame.apply(df, name, fn)
+
+    def where(self, df: DataFrame, predicate: Predicate) -> DataFrame:
+        return frame.where(df, predicate)
+
     def for_each(self, df: DataFrame, name: str, fn: Callable[[list], None]) -> None:
         """fn gets the values of a partition, nulls too."""
         self.spread(df.select(name)).foreachPartition(lambda rows: fn([r[0] for r in rows]))

@@ -355,6 +355,18 @@ def test_parquet_and_buckets(spark, tmp_path):
     assert "Exchange" not in plan
 
 
+def test_inspection(spark):
+    df = spark.createDataFrame([(2, None, 1.5), (1, "x", None)], "i int, s string, x double").withColumn("t", F.timestamp_seconds(F.lit(0)))
+    assert frame.dtypes(df) == {"i": "int64", "s": "string", "x": "float64", "t": "time"}
+    assert frame.preview(df.drop("t"), "i") == "i\ts\tx\n1\tx\t<null>\n2\t<null>\t1.5"
+
+
+def test_parallel_frames(spark):
+    df = spark.createDataFrame([(20, "a"), (30, "b"), (40, "c")], "age long, name string")
+    pool = parallel.Pool(2)
+    assert pool.apply(df, "age", lambda c: c + 1).first().age == 21 and pool.where(df, P.col("age").gt(25)).count() == 2
+
+
 def test_parallel(spark):
     df = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, None)], "x long")
     pool = parallel.Pool(2)
