@@ -32,6 +32,10 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+#: Words are what stands between spaces alone.
+UNSPACED = np.ones(256, bool)
+UNSPACED[0x20] = False
+
 #: Bytes of text handled at once.
 RUN_BYTES = 1 << 20
 
@@ -72,6 +76,7 @@ class Words:
     end: np.ndarray
     data: np.ndarray  # uint8
     first: int  # index of the first document in the column
+    doc_off: np.ndarray  # byte offsets of the documents, documents + 1
 
     def __len__(self) -> int:
         return len(self.doc_start) - 1
@@ -104,12 +109,12 @@ def runs(off: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words_of(data: np.ndarray, off: np.ndarray, kind: np.ndarray, first: int = 0) -> Words:
-    """Words of the documents whose bytes lie between neighbouring offsets."""
+def words_of(data: np.ndarray, off: np.ndarray, kind: np.ndarray, first: int = 0, fold: bool = True) -> Words:
+    """Words of the documents whose bytes lie between neighbouring offsets; fold: A-Z hash as a-z."""
     n = len(data)
     if not n:
         empty = np.empty(0, np.int64)
-        return Words(np.empty(0, np.uint64), np.zeros(len(off), np.int64), empty, empty, data, first)
+        return Words(np.empty(0, np.uint64), np.zeros(len(off), np.int64), empty, empty, data, first, off)
     inside = kind[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -122,16 +127,28 @@ def words_of(data: np.ndarray, off: np.ndarray, kind: np.ndarray, first: int = 0
     up, down = _powers_to(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_LOWER_VALUE[data] * up[:n], out=total[1:])
+    np.cumsum((_LOWER_VALUE if fold else _BYTE_VALUE)[data] * up[:n], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(hashes, np.searchsorted(start, off).astype(np.int64), start, end, data, first)
+    return Words(hashes, np.searchsorted(start, off).astype(np.int64), start, end, data, first, off)
 
 
-def words_in(column: pa.Array, kind: np.ndarray, limit: int = RUN_BYTES) -> Iterator[Words]:
+def words_in(column: pa.Array, kind: np.ndarray, limit: int = RUN_BYTES, fold: bool = True) -> Iterator[Words]:
     """The words of a column, run by run."""
     data, off = column_bytes(column)
     for i, j in runs(off, limit):
-        yield words_of(data[off[i] : off[j]], off[i : j + 1] - off[i], kind, i)
+        yield words_of(data[off[i] : off[j]], off[i : j + 1] - off[i], kind, i, fold)
+
+
+def gathered(each: list[bytes], which: np.ndarray, doc_start: np.ndarray) -> list[np.ndarray]:
+    """int32 values of each document, where word k has those of each[which[k]]."""
+    size = np.array([len(x) // 4 for x in each], np.int64)
+    begin = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(each), np.int32)
+    lengths = size[which]
+    edge = np.r_[0, np.cumsum(lengths)]
+    out = flat[np.repeat(begin[which] - edge[:-1], lengths) + np.arange(edge[-1])]
+    at = edge[doc_start].tolist()
+    return [out[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def hash_words(words: list[str], kind: np.ndarray) -> np.ndarray:

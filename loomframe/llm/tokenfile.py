@@ -26,10 +26,13 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from . import text as T
+from .bpe import byte_symbols
 from .common import arrow_schema, bounded, id_and_text, map_batches, shared_path, stored, table
 
 MAGIC = b"RANSTOK1"
 SCALE, LANES, BLOCK = 20, 32, 1 << 15
 #: Blocks that are coded side by side.
-SIDE = 64
+SIDE = 16
 _LOW = np.uint64(1 << 31)
 _U32 = np.uint64(32)
 END_ID = 2
+#: Bytes of text whose different words are looked up together.
+RUN = 1 << 20
 
 
 def table_of(ids: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +202,19 @@ class TokenFile:
 
 
 class WordTokens:
-    """Ids of the tokenizers library, remembering chunks between white space.
-
-    The vocabulary's normaliser and splitting pattern never join characters across white
-    space, so a text's ids are those of its chunks in order. Texts with special tokens or with
-    characters that Python counts as white space and the library does not go to it whole.
+    """Ids of the tokenizers library, for each different word once.
+
+    Texts of Latin-1 characters (none of which its normaliser changes but for case) are lower-cased and
+    cut at ASCII white space, which none of its pieces can span. Words are told apart by 64-bit
+    hashes, some megabytes of text at a time; the ids of each different one come from memory, or its
+    pieces, by the vocabulary's own splitting pattern, go to the library's model. All other
+    texts, and those with strings of special tokens, go to the library whole, and so do all
+    texts where the vocabulary is split in another way.
     """
 
-    MEMORY = 300_000
+    MEMORY = 250_000
+    #: Fixed value: the splitting pattern of the vocabulary.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -213,25 +224,46 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"].get("pretokenizers") or [{}]
+        own = steps[0].get("pattern") == {"Regex": self.PATTERN} and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space")
+        self.cut = regex.compile(self.PATTERN) if own else None
+        self.known: dict[int, bytes] = {}
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word: the library's model on the byte symbols of its pieces, as its pre-tokenizer gives them."""
+        out = array("i")
+        for p in [word] if word.isalpha() else self.cut.findall(word):
+            symbols = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols)
+            out.extend([t.id for t in self.tokenizer.model.tokenize(symbols)])
+        return out.tobytes()
+
+    def _plain(self, x: str) -> bool:
+        try:
+            x.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return self.cut is not None and not any(s in x for s in self.special)
+
+    def _run(self, words: T.Words) -> list[np.ndarray]:
+        """Ids of each document of a run."""
+        different, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        known, each = self.known, []
+        for h, k in zip(different.tolist(), first.tolist(), strict=True):
+            got = known.get(h)
+            if got is None:
+                got = known[h] = self._ids(words.data[words.start[k] : words.end[k]].tobytes().decode())
+            each.append(got)
+        return T.gathered(each, which, words.doc_start)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.MEMORY:
-            self.known.clear()
-        known, whole, chunks, missing = self.known, [], [], set()
-        for x in texts:
-            odd = any(s in x for s in self.special) or any(c in x for c in "\x1c\x1d\x1e\x1f")
-            whole.append(odd)
-            chunks.append([x] if odd else x.split())
-            if not odd:
-                missing.update(c for c in chunks[-1] if c not in known)
-        new = list(missing)
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i : i + 4096], self._library(new[i : i + 4096]), strict=True))
-        return [np.frombuffer(self._library(c)[0] if odd else b"".join(map(known.__getitem__, c)), np.int32) for odd, c in zip(whole, chunks, strict=True)]
+            for old in list(islice(self.known, self.MEMORY // 2)):
+                del self.known[old]
+        plain = [self._plain(x) for x in texts]
+        out = [x for words in T.words_in(pa.array([x.lower() if p else "" for x, p in zip(texts, plain, strict=True)], pa.string()), T.SPACED, RUN) for x in self._run(words)]
+        return [x if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for x, t, p in zip(out, texts, plain, strict=True)]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -250,7 +282,7 @@ def default_path() -> str:
 
 
 #: Texts tokenised at once.
-GROUP = 200
+GROUP = 400
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
