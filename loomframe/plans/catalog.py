@@ -411,15 +411,15 @@ def _stat(name: str, expression, sql: str, digits: int = 4):
 
 
 _stat("q73_mean", lambda x, y: S.mean(x), "coalesce(avg(l_extendedprice), 0)", 2)
-_stat("q74_median", lambda x, y: S.median(x), "coalesce(quantile_cont(l_extendedprice, 0.5), 0)", 2)
+_stat("q74_median", lambda x, y: S.median(x), "coalesce(quantile_cont(l_extendedprice, 0.5), 0)")
 _stat("q76_variance", lambda x, y: S.variance(y), "coalesce(var_samp(l_quantity), 0)")
 _stat("q77_std", lambda x, y: S.std(y), "coalesce(stddev_samp(l_quantity), 0)")
 _stat("q78_skewness", lambda x, y: S.skewness(x), "coalesce(skewness(l_extendedprice), 0)")
 _stat("q79_kurtosis", lambda x, y: S.kurtosis(x), "coalesce(kurtosis(l_extendedprice), 0)")
 _stat("q80_covariance", lambda x, y: S.covariance(x, y), "coalesce(covar_samp(l_extendedprice, l_quantity), 0)", 2)
 _stat("q81_correlation", lambda x, y: S.correlation(x, y), "corr(l_extendedprice, l_quantity)", 6)
-_stat("q82_iqr", lambda x, y: S.iqr(x), "quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)", 2)
-_stat("q82b_quantile", lambda x, y: S.quantile(x, 0.9), "quantile_cont(l_extendedprice, 0.9)", 2)
+_stat("q82_iqr", lambda x, y: S.iqr(x), "quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)")
+_stat("q82b_quantile", lambda x, y: S.quantile(x, 0.9), "quantile_cont(l_extendedprice, 0.9)")
 
 
 @query("q75_modes", "SELECT l_quantity FROM (SELECT l_quantity, rank() OVER (ORDER BY count(*) DESC) AS k FROM lineitem GROUP BY l_quantity) WHERE k = 1")
@@ -560,7 +560,7 @@ def _(s, d):
 
 
 def _spread(name: str, expression, sql: str | None, digits: int = 6):
-    @query(name, sql and f"SELECT event_id, round({sql}, {digits}) AS v FROM (SELECT event_id, value / 100 AS x FROM events)")
+    @query(name, sql and f"SELECT event_id, round(CAST({sql} AS DOUBLE), {digits}) AS v FROM (SELECT event_id, value / 100 AS x FROM events)")
     def _(s, d):
         return load(s, d, "events").select("event_id", (F.col("value") / 100).alias("x")).select("event_id", r(expression(F.col("x")), digits).alias("v"))
 
@@ -582,17 +582,17 @@ _spread("q106f_poisson_cdf", lambda x: D.Poisson(3.5).cdf(F.abs(x) * 5), None)
 _spread("q106g_binomial_cdf", lambda x: D.Binomial(12, 0.3).cdf(F.abs(x) * 5), None)
 
 
-@query("q107_arange", "SELECT i AS i0, round(2.0 + i * 0.25, 6) AS v FROM range(32) t(i)")
+@query("q107_arange", "SELECT i AS i0, round(CAST(2.0 + i * 0.25 AS DOUBLE), 6) AS v FROM range(32) t(i)")
 def _(s, d):
     return A.arange(s, 2.0, 10.0, 0.25).map(lambda v: r(v, 6)).df
 
 
-@query("q108_linspace", "SELECT i AS i0, round(-1.0 + i * 0.02, 6) AS v FROM range(101) t(i)")
+@query("q108_linspace", "SELECT i AS i0, round(CAST(-1.0 + i * 0.02 AS DOUBLE), 6) AS v FROM range(101) t(i)")
 def _(s, d):
     return A.linspace(s, -1.0, 1.0, 101).map(lambda v: r(v, 6)).df
 
 
-@query("q109_full", "SELECT i // 4 AS i0, i % 4 AS i1, 2.5 + 1 + 0.0 AS v FROM (SELECT CAST(i AS BIGINT) AS i FROM range(12) t(i))")
+@query("q109_full", "SELECT i // 4 AS i0, i % 4 AS i1, CAST(3.5 AS DOUBLE) AS v FROM (SELECT CAST(i AS BIGINT) AS i FROM range(12) t(i))")
 def _(s, d):
     return A.full(s, 2.5, 3, 4).combine("add", A.ones(s, 3, 4)).combine("add", A.zeros(s, 3, 4)).df
 

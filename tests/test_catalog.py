@@ -34,7 +34,7 @@ def same(x):
         return tuple(same(v) for v in x)
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return "null"
-    return round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    return round(float(x), 4) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
 @needs_data
