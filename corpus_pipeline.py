@@ -17,8 +17,8 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line nearly equals; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    """Documents without the lines that an earlier line nearly equals, short ones too; n_chars follows the text."""
+    out = lines.dedup_lines(docs, min_words=1)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

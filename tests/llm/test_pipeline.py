@@ -82,6 +82,19 @@ def test_every_stage(spark, tables):
         assert final[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_short_repeated_lines_go(spark):
+    """Lines of one to four words too; lines without words stay."""
+    r = random.Random(12)
+    rows = [(i, "\n".join(["Share this", prose(3000 + i, 12), "", "  ", r.choice(["Home", "home", "ad", "a b c d", "d c b a", "a b c e"])])) for i in range(40)] + [(50, None), (51, "share THIS")]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    gone = plain_lines(rows, least=1)
+    assert sum(k == 0 for _, k in gone) == 40 and not any(k in (2, 3) for _, k in gone)
+    got = {x.doc_id: x for x in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    for i, t in rows:
+        want = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
+        assert (got[i].text, got[i].n_chars) == (want, None if t is None else len(want))
+
+
 def test_stages_on_empty_tables(spark, tables):
     d, *_ = tables
     none = spark.read.parquet(f"{d}/documents.parquet").limit(0)
