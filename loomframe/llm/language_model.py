@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model over words.
+"""LM scoring: an interpolated modified Kneser-Ney model of order two or three over words.
 
 Counting is done by tasks and joined up by shuffles of packed, pre-aggregated blocks:
 a task sums the pairs (context, word) of some millions of tokens and sends, for each
@@ -11,8 +11,10 @@ and look words and pairs up by binary search, so a worker holds no part of the m
 
 P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P1(w), and P1 is the same over
 continuation counts, interpolated with 1 / (V + 1); D has three values at each level,
-from counts of counts. The order is two: on text of this kind nearly every third-order
-count is one, and its table would outgrow the corpus.
+from counts of counts. At order three, P(w | u v) has the same form over c(uvw), and below
+it P(w | v) takes for c(vw) the number of different words before v w. Triples go to the
+partition of their last two words, so those numbers need no shuffle of their own; the sums
+of a context u v lie in its SALTS partitions and are added up when it is looked up.
 
 Defined results: a null text is empty; an empty text is its end alone; words never seen
 share the uniform part of P1; with no training text every score is that of a uniform
@@ -39,6 +41,8 @@ from .common import arrow_schema, bounded, id_and_text, map_batches, shared_path
 #: Stand for the places before a text and after it.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xA0761D6478BD642F)
 SALTS = 4
+#: The order of the query's model.
+ORDER = 3
 #: Text bytes a partition of the model stands for, and tokens a task sums before it sends.
 PARTITION_BYTES, FLUSH = 24 << 20, 4_000_000
 BLOCKS = "part int, block binary"
@@ -72,6 +76,24 @@ def pairs_of(words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, at
 
 
+def grams_of(words: T.Words, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all n-grams of the order, each text begun by BEGINs, and where documents begin."""
+    v, w, at = pairs_of(words)
+    if order == 2:
+        return [v, w], at
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[at[:-1]] = BEGIN
+    return [u, v, w], at
+
+
+def _gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    key = _pair_key(*columns[:2])
+    for c in columns[2:]:
+        key = _pair_key(key, c)
+    return key
+
+
 def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return T.mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
 
@@ -120,30 +142,57 @@ def _mapped(path: str, kinds) -> list[np.ndarray]:
     return out
 
 
+def _pack_grams(columns: list[np.ndarray], c: np.ndarray) -> bytes:
+    """Grams as places in the block's own list of words, byte by byte, so that they take little of a shuffle."""
+    words, place = np.unique(np.concatenate(columns), return_inverse=True)
+    planes = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    return struct.pack("<q", len(words)) + _pack(c) + zstandard.ZstdCompressor(level=1).compress(words.tobytes() + np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack_grams(block: bytes, order: int) -> list[np.ndarray]:
+    (n_words,) = struct.unpack_from("<q", block)
+    (n,) = struct.unpack_from("<q", block, 8)
+    counts = zstandard.ZstdDecompressor().decompressobj()
+    c = np.frombuffer(counts.decompress(block[16:]), np.int64, n)
+    raw = zstandard.ZstdDecompressor().decompress(counts.unused_data)
+    words = np.frombuffer(raw, np.uint64, n_words)
+    place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * order * n, 8 * n_words).reshape(4, -1).T).view(np.uint32).ravel()
+    return [*words[place].reshape(order, n), c]
+
+
 PAIR_KINDS = (np.uint64, np.uint8)  # count 255: see the overflow file
 OVER_KINDS = (np.uint64, np.int64)
+CONTEXT_KINDS = (np.uint64, np.uint8)  # which of the partition's SUMS_KINDS rows; 255: see the overflow file
+SUMS_KINDS = (np.int64,) * 4  # tokens, N1, N2, N3+
+CONTEXT_OVER_KINDS = (np.uint64, *SUMS_KINDS)
 WORD_KINDS = (np.uint64, *[np.int64] * 6)  # count, as context: tokens, N1, N2, N3+; continuations
 
 
-def _count_pairs(texts: DataFrame, parts: int) -> DataFrame:
-    """Blocks of (context, word, count) by partition, summed for FLUSH tokens at a time."""
+def _count_grams(texts: DataFrame, parts: int, order: int) -> DataFrame:
+    """Blocks of (n-gram, count) by the partition of the last two words, summed for FLUSH tokens of pairs at a time."""
     schema = arrow_schema(BLOCKS)
 
     def send(held):
-        v, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, (c,) = _summed(_pair_key(v, w), [c])
-        v, w = v[first], w[first]
-        for p, block in _split(_pair_part(v, w, parts), parts, v, w, c):
-            yield T.batches_of([[p], [block]], schema.names, schema)
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        _, first, (c,) = _summed(_gram_key(columns), [np.ones(len(columns[0]), np.int64)])
+        columns = [x[first] for x in columns]
+        part = _pair_part(*columns[-2:], parts)
+        by = np.lexsort((*columns[::-1], part)) if order == 2 else np.lexsort((columns[2], columns[1], part))
+        edge = np.searchsorted(part[by], np.arange(parts + 1))
+        for p in range(parts):
+            some = by[edge[p] : edge[p + 1]]
+            if len(some):
+                own = [x[some] for x in columns]
+                yield T.batches_of([[p], [_pack_grams(own, c[some]) if order > 2 else _pack(*own, c[some])]], schema.names, schema)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for words in T.words_in(batch.column(0), T.SPACED):
-                v, w, _ = pairs_of(words)
-                held.append((v, w, np.ones(len(w), np.int64)))
-                size += len(w)
-                if size >= FLUSH:
+                columns, _ = grams_of(words, order)
+                held.append(columns)
+                size += len(columns[0])
+                if size * order >= 2 * FLUSH:
                     yield from send(held)
                     held, size = [], 0
         if held:
@@ -153,26 +202,59 @@ def _count_pairs(texts: DataFrame, parts: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, BLOCKS)
 
 
-def _merge_pairs(blocks: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Writes each partition's pairs; gives blocks of word sums, and at part -1 counts of counts."""
+def _write_counts(folder: str, kind: str, over: str, part: int, key: np.ndarray, c: np.ndarray) -> None:
+    _write(f"{folder}/{kind}-{part:06d}", key, np.minimum(c, 255).astype(np.uint8))
+    big = c >= 255
+    _write(f"{folder}/{over}-{part:06d}", key[big], c[big])
+
+
+def _classed(c: np.ndarray) -> list[np.ndarray]:
+    return [(c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
+
+
+def _write_contexts(folder: str, part: int, u: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
+    """The partition's share of each context's sums: a byte each where the sums are among its 255 commonest."""
+    key, _, sums = _summed(_pair_key(u, v), [c, *_classed(c)])
+    small = np.flatnonzero(sums[0] < 1 << 15)  # four sums of 16 bits in a number
+    packed = sum(x[small].astype(np.uint64) << np.uint64(16 * k) for k, x in enumerate(sums))
+    kinds, inverse, times = np.unique(packed, return_inverse=True, return_counts=True)
+    common = np.argsort(-times, kind="stable")[:255]
+    code = np.full(len(kinds), 255, np.uint8)
+    code[common] = np.arange(len(common))
+    which = np.full(len(key), 255, np.uint8)
+    which[small] = code[inverse]
+    _write(f"{folder}/contexts-{part:06d}", key, which)
+    _write(f"{folder}/sums-{part:06d}", *((kinds[common] >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4)))
+    rare = which == 255
+    _write(f"{folder}/contextover-{part:06d}", key[rare], *(x[rare] for x in sums))
+
+
+def _merge_grams(blocks: DataFrame, folder: str, parts: int, order: int) -> DataFrame:
+    """Writes each partition's pairs, and at order three its triples and contexts; gives blocks of word sums, and at part -1 counts of counts."""
     schema = arrow_schema(BLOCKS)
 
     def run(batch):
         for part, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            v, w, c = (np.concatenate(x) for x in zip(*(_unpack(b, (np.uint64, np.uint64, np.int64)) for b in some), strict=True))
-            key, first, (c,) = _summed(_pair_key(v, w), [c])
-            v, w = v[first], w[first]
-            _write(f"{folder}/pairs-{part:06d}", key, np.minimum(c, 255).astype(np.uint8))
-            over = c >= 255
-            _write(f"{folder}/over-{part:06d}", key[over], c[over])
+            read = (lambda b: _unpack_grams(b, order)) if order > 2 else lambda b: _unpack(b, (np.uint64, np.uint64, np.int64))
+            *columns, c = (np.concatenate(x) for x in zip(*map(read, some), strict=True))
+            key, first, (c,) = _summed(_gram_key(columns), [c])
+            columns = [x[first] for x in columns]
+            v, w, told, raw = *columns[-2:], {}, c
+            if order > 2:
+                _write_counts(folder, "triples", "tripleover", part, key, c)
+                _write_contexts(folder, part, columns[0], v, c)
+                told = {f"t{k}": int((c == k).sum()) for k in range(1, 5)}
+                key, first, (raw, c) = _summed(_pair_key(v, w), [c, np.ones(len(c), np.int64)])  # from here on a pair's count is of the words before it
+                v, w = v[first], w[first]
+            _write_counts(folder, "pairs", "over", part, key, c)
             n = len(c)
             zero, one = np.zeros(n, np.int64), np.ones(n, np.int64)
             words = np.concatenate([w, v])
-            sums = [np.concatenate(x) for x in ((c, zero), (zero, c), (zero, (c == 1).astype(np.int64)), (zero, (c == 2).astype(np.int64)), (zero, (c > 2).astype(np.int64)), (one, zero))]
+            sums = [np.concatenate(x) for x in ((raw, zero), (zero, c), *((zero, x) for x in _classed(c)), (one, zero))]
             words, _, sums = _summed(words, sums)
             for p, block in _split(_word_part(words, parts), parts, words, *sums):
                 yield T.batches_of([[p], [block]], schema.names, schema)
-            told = {"pairs": n, **{f"n{k}": int((c == k).sum()) for k in range(1, 5)}}
+            told |= {"pairs": n, **{f"n{k}": int((c == k).sum()) for k in range(1, 5)}}
             yield T.batches_of([[-1], [json.dumps(told).encode()]], schema.names, schema)
 
     gathered = blocks.groupBy("part").agg(F.collect_list("block").alias("blocks"))  # a partition's own share of the distinct pairs
@@ -208,8 +290,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Model:
     """Paths and sums; the tables are mapped where it is used."""
 
-    def __init__(self, folder: str, parts: int, sums: dict[str, int]):
-        self.folder, self.parts, self.sums = folder, parts, sums
+    def __init__(self, folder: str, parts: int, sums: dict[str, int], order: int = 2):
+        self.folder, self.parts, self.sums, self.order = folder, parts, sums, order
+        self.d_triple = np.array(discounts(*(sums.get(f"t{k}", 0) for k in range(1, 5))))
         self.d_pair = np.array(discounts(*(sums[f"n{k}"] for k in range(1, 5))))
         self.d_word = np.array(discounts(*(sums[f"m{k}"] for k in range(1, 5))))
         left = self.d_word[1] * sums["m1"] + self.d_word[2] * sums["m2"] + self.d_word[3] * sums["m3up"]
@@ -220,10 +303,13 @@ class Model:
         return self.__dict__ | {"_open": {}}
 
     def _file(self, name: str, kinds) -> list[np.ndarray]:
-        if name not in self._open:
-            path = f"{self.folder}/{name}"
-            self._open[name] = _mapped(path, kinds) if os.path.exists(path) else [np.empty(0, k) for k in kinds]
-        return self._open[name]
+        if name in self._open:
+            return self._open[name]
+        path = f"{self.folder}/{name}"
+        out = _mapped(path, kinds) if os.path.exists(path) else [np.empty(0, k) for k in kinds]
+        if self.order == 2 or name.startswith("words"):  # the tables of order three are let go, or they would fill a worker's memory
+            self._open[name] = out
+        return out
 
     def _find(self, kind: str, kinds, part: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
         """The columns of each key, 0 where there is none."""
@@ -246,17 +332,53 @@ class Model:
     def words(self, w: np.ndarray) -> list[np.ndarray]:
         return self._find("words", WORD_KINDS, _word_part(w, self.parts), w)
 
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        part, key = _pair_part(v, w, self.parts), _pair_key(v, w)
-        (c,) = self._find("pairs", PAIR_KINDS, part, key)
+    def _counts(self, kind: str, over: str, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        (c,) = self._find(kind, PAIR_KINDS, part, key)
         big = np.flatnonzero(c == 255)
         if len(big):
-            (c[big],) = self._find("over", OVER_KINDS, part[big], key[big])
+            (c[big],) = self._find(over, OVER_KINDS, part[big], key[big])
         return c
 
-    def log10(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 P(w | v), log10 of the base estimate, count) of each token."""
-        s = self.sums
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of pairs; at order three, of the different words before them."""
+        return self._counts("pairs", "over", _pair_part(v, w, self.parts), _pair_key(v, w))
+
+    def triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self._counts("triples", "tripleover", _pair_part(v, w, self.parts), _gram_key([u, v, w]))
+
+    def contexts(self, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """Tokens, N1, N2 and N3+ after each u v, added up over the partitions that v is spread over."""
+        key, first, inverse = np.unique(_pair_key(u, v), return_index=True, return_inverse=True)
+        v = v[first]
+        out, done = [np.zeros(len(key), np.int64) for _ in SUMS_KINDS], []
+        for salt in range(SALTS):
+            part = _pair_part(v, np.full(len(v), salt << 20, np.uint64), self.parts)
+            fresh = np.flatnonzero(np.all([part != x for x in done], axis=0)) if done else np.arange(len(part))  # two salts can share a partition
+            done.append(part)
+            order = fresh[np.argsort(part[fresh], kind="stable")]  # keys ascend within each partition
+            edge = np.searchsorted(part[order], np.arange(self.parts + 1))
+            for p in range(self.parts):
+                some = order[edge[p] : edge[p + 1]]
+                if not len(some):
+                    continue
+                have, which = self._file(f"contexts-{p:06d}", CONTEXT_KINDS)
+                if not len(have):
+                    continue
+                at = np.minimum(np.searchsorted(have, key[some]), len(have) - 1)
+                hit = have[at] == key[some]
+                some, code = some[hit], which[at[hit]]
+                common = code < 255
+                for o, x in zip(out, self._file(f"sums-{p:06d}", SUMS_KINDS), strict=True):
+                    o[some[common]] += x[code[common]]
+                rare = some[~common]
+                if len(rare):
+                    for o, x in zip(out, self._find("contextover", CONTEXT_OVER_KINDS, np.full(len(rare), p), key[rare]), strict=True):
+                        o[rare] += x
+        return [o[inverse] for o in out]
+
+    def log10(self, *gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 P(w | v) or P(w | u v), log10 of the base estimate, count) of each token."""
+        s, (v, w) = self.sums, gram[-2:]
         distinct, inverse = np.unique(np.concatenate([v, w]), return_inverse=True)
         count, tokens, n1, n2, n3, follows = self.words(distinct)
         iv, iw = inverse[: len(v)], inverse[len(v) :]
@@ -267,22 +389,29 @@ class Model:
         held = (self.d_pair[1] * n1 + self.d_pair[2] * n2 + self.d_pair[3] * n3)[iv]
         safe = np.maximum(total, 1)
         p = np.where(total > 0, np.maximum(both - self.d_pair[np.minimum(both, 3)], 0) / safe + held / safe * lower[iw], lower[iw])
+        if self.order > 2:
+            after, n1, n2, n3 = self.contexts(gram[0], v)
+            c, safe = self.triples(*gram), np.maximum(after, 1)
+            held = self.d_triple[1] * n1 + self.d_triple[2] * n2 + self.d_triple[3] * n3
+            p = np.where(after > 0, np.maximum(c - self.d_triple[np.minimum(c, 3)], 0) / safe + held / safe * p, p)
         c = count[iw]
         return np.log10(p), np.log10((c + 0.5) / (s["tokens"] + 0.5 * (s["vocabulary"] + 1))), c
 
 
-def train(texts: DataFrame, folder: str, *, partition_bytes: int = PARTITION_BYTES) -> Model:
+def train(texts: DataFrame, folder: str, *, order: int = 2, partition_bytes: int = PARTITION_BYTES) -> Model:
     """Count texts(text), write the tables to a folder that workers can map, and give the model."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: only 2 and 3 are there")
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // partition_bytes))
-    told_pairs = _merge_pairs(_count_pairs(texts, parts), folder, parts)
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size * order // (2 * partition_bytes)))
+    told_pairs = _merge_grams(_count_grams(texts, parts, order), folder, parts, order)
     told_words = _merge_words(told_pairs, folder)
-    sums = dict.fromkeys(("pairs", "n1", "n2", "n3", "n4", "tokens", "vocabulary", "m1", "m2", "m3", "m4", "m3up"), 0)
+    sums = dict.fromkeys(("pairs", "n1", "n2", "n3", "n4", "tokens", "vocabulary", "m1", "m2", "m3", "m4", "m3up", "t1", "t2", "t3", "t4"), 0)
     for rows in (told_pairs.where("part = -1").select(F.col("block").cast("string").alias("told")), told_words.select("told")):
         for r in rows.select(F.from_json("told", "map<string,bigint>").alias("m")).select(F.explode("m")).groupBy("key").agg(F.sum("value").alias("n")).collect():
             sums[r.key] += r.n
-    return Model(folder, parts, sums)
+    return Model(folder, parts, sums, order)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +421,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batch):
         ids = batch.column(0)
         for words in T.words_in(batch.column(1), T.SPACED, 4 << 20):
-            v, w, at = pairs_of(words)
-            p, base, count = model.log10(v, w)
+            gram, at = grams_of(words, model.order)
+            p, base, count = model.log10(*gram)
             known = np.add.reduceat((count > 0).astype(np.int64), at[:-1])
             total, simple = np.add.reduceat(p, at[:-1]), np.add.reduceat(base, at[:-1])
             n = np.diff(at)
@@ -309,7 +438,7 @@ def fold(doc_id: Column) -> Column:
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(fold(F.col("doc_id")) != 1).select("text"), shared_path(spark, "model"))
+    model = train(docs.where(fold(F.col("doc_id")) != 1).select("text"), shared_path(spark, "model"), order=ORDER)
     out = score(docs, model)
     return out.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.sums["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 

@@ -87,6 +87,46 @@ def test_language_model_equals_its_formulas(spark):
         assert math.isclose(got[i].base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (size + 1))) for x in w), rel_tol=1e-9)
 
 
+def test_language_model_of_order_three_equals_its_formulas(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FLUSH", 500)
+    docs = [(100 + i, prose(i % 7 + 20, 40)) for i in range(40)] + corpus()[:6] + [(200, "a b " * 400), (201, "b a c")]
+    train = docs[:30] + docs[-2:-1]
+    model = language_model.train(frame(spark, train).select("text"), common.shared_path(spark, "model"), order=3, partition_bytes=1 << 10)
+    got = {r.doc_id: r for r in language_model.score(frame(spark, docs), model).collect()}
+    begun = [["<s>", "<s>", *spaced(t), "</s>"] for _, t in train]
+    triples = collections.Counter(x for t in begun for x in zip(t, t[1:], t[2:], strict=False))
+    pairs, follows = collections.Counter(x[1:] for x in triples), collections.Counter()
+    for _, w in pairs:
+        follows[w] += 1
+    d3, d2, d1 = ([0, *language_model.discounts(*(sum(x == k for x in counts.values()) for k in range(1, 5)))[1:]] for counts in (triples, pairs, follows))
+    after = collections.defaultdict(list)
+    for table in (triples, pairs):
+        for x, k in table.items():
+            after[x[:-1]].append(k)
+    rest = sum(d1[min(k, 3)] for k in follows.values()) / len(pairs)
+
+    def p(*x):
+        if len(x) == 1:
+            return max(follows[x[0]] - d1[min(follows[x[0]], 3)], 0) / len(pairs) + rest / (len(follows) + 1)
+        counts, d, low = (triples, d3, p(*x[1:])) if len(x) == 3 else (pairs, d2, p(*x[1:]))
+        seen = after[x[:-1]]
+        return low if not seen else max(counts[x] - d[min(counts[x], 3)], 0) / sum(seen) + sum(d[min(k, 3)] for k in seen) / sum(seen) * low
+
+    assert triples["a", "b", "a"] > 255 and math.isclose(sum(p("a", "b", w) for w in follows) + p("a", "b", "never"), 1)
+    for i, t in docs:
+        w = ["<s>", "<s>", *spaced(t), "</s>"]
+        assert got[i].n_tokens == len(w) - 2
+        assert math.isclose(got[i].score, sum(math.log10(p(*x)) for x in zip(w, w[1:], w[2:], strict=False)), rel_tol=1e-9)
+
+
+def test_language_model_query_has_order_three(spark, tmp_path):
+    """The word before the last tells what follows; pairs alone cannot."""
+    rows = [(i, " ".join(f"{a} m {a}{a}" for a in "pq" * 6)) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = language_model.op8_language_model(spark, str(tmp_path)).collect()
+    assert {r.perplexity < 1.3 for r in out} == {True}
+
+
 def test_language_model_of_nothing(spark):
     model = language_model.train(frame(spark, []).select("text"), common.shared_path(spark, "model"))
     assert {r.score for r in language_model.score(frame(spark), model).collect()} == {0.0}
