@@ -29,11 +29,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), near=0)
-    gone = stored(found.where(F.size("hits") > 0).select("doc_id").distinct())
+    """Documents that hold no window of a benchmark item; those without doc_id are told apart by their texts."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no doc_id"), F.col("text")))
+    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), near=0)
+    gone = stored(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("contaminated doc")).distinct())
     few = gone.count() <= lines.SMALL_ROWS  # 8 bytes each; beyond, the join shuffles
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col("contaminated doc"), "left_anti").select(docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

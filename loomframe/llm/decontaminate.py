@@ -14,7 +14,8 @@ What remains are exact phrase occurrences. Proximity matches need every word of
 window within `near` words of an occurrence of its rarest word, in the same document.
 
 Defined results: null or empty texts have no words, and no hits; items without words
-have no windows; an item_id that is repeated counts once a document; repeated document
+have no windows; an item_id that is repeated counts once a document; items without item_id
+hit words too, but are not named; a null doc_id stays null; repeated document
 rows are searched one by one; an empty benchmark hits nothing; other columns are not
 read except where the pipeline hands them on.
 """
@@ -38,7 +39,7 @@ WIDTH, NEAR = 10, 20
 #: Benchmark text that is sent to the segments at once.
 BLOCK_BYTES = 8 << 20
 
-SEGMENT = "segment string, n_docs long, doc_ids binary, doc_start binary, terms binary, lengths binary, places binary"
+SEGMENT = "segment string, n_docs long, doc_ids binary, no_id binary, doc_start binary, terms binary, lengths binary, places binary"
 FOUND = "doc_id long, segment string, ordinal long, n_words long, items array<string>, near_items array<string>, hits array<struct<start:long,end:long>>"
 
 
@@ -70,10 +71,10 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         lengths = np.diff(np.r_[at, len(h)]).astype(np.int32)
         delta = np.diff(places, prepend=np.int32(0)).astype(np.int32)
         delta[at] = places[at]
-        ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else pc.fill_null(batch.column(0), -1).to_numpy()
-        ids = np.ascontiguousarray(ids, np.int64)
-        name = hashlib.sha256(ids.tobytes() + h.tobytes()).hexdigest()[:24]
-        return T.batches_of([[name], [len(ids)], [ids.tobytes()], [_pack(doc_start)], [sorted_h[at].tobytes()], [_pack(lengths)], [_pack(delta)]], schema.names, schema)
+        no_id = pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
+        ids = np.ascontiguousarray(pc.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False), np.int64)
+        name = hashlib.sha256(ids.tobytes() + no_id.tobytes() + h.tobytes()).hexdigest()[:24]
+        return T.batches_of([[name], [len(ids)], [ids.tobytes()], [no_id.tobytes()], [_pack(doc_start)], [sorted_h[at].tobytes()], [_pack(lengths)], [_pack(delta)]], schema.names, schema)
 
     return stored(map_batches(id_and_text(docs, id_col, text_col), index, SEGMENT))
 
@@ -81,7 +82,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 class _Segment:
     def __init__(self, row: dict):
         self.name = row["segment"]
-        self.ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], bool))
         self.doc_start = _unpack(row["doc_start"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.lengths = _unpack(row["lengths"], np.int32).astype(np.int64)
@@ -113,7 +114,7 @@ def _held(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Block:
     """Windows of some benchmark items, by length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         words = [w for w in T.words_in(pa.array([x for _, x in items], pa.string()), T.ALNUM)]
         hashes = [w.hashes[w.doc_start[i] : w.doc_start[i + 1]] for w in words for i in range(len(w))]
         self.names = [k for k, _ in items]
@@ -183,7 +184,7 @@ def _search_block(index: DataFrame, block: _Block, near: int) -> DataFrame:
                         p, d = p[good], d[good]
                         np.add.at(edge, p, 1)
                         np.add.at(edge, p + size, -1)
-                        for x in np.unique(d).tolist():
+                        for x in np.unique(d).tolist() if names[owner[k]] is not None else ():
                             exact[x].add(names[owner[k]])
                     if near:
                         d = np.searchsorted(seg.doc_start, q, "right") - 1
@@ -196,7 +197,7 @@ def _search_block(index: DataFrame, block: _Block, near: int) -> DataFrame:
                             keep = i < len(other)
                             keep[keep] = other[i[keep]] <= high[keep]
                             low, high, d = low[keep], high[keep], d[keep]
-                        for x in np.unique(d).tolist():
+                        for x in np.unique(d).tolist() if names[owner[k]] is not None else ():
                             close[x].add(names[owner[k]])
             hit = np.cumsum(edge[:-1]) > 0
             flip = np.diff(np.r_[False, hit, False].astype(np.int8))
@@ -216,7 +217,7 @@ def _search_block(index: DataFrame, block: _Block, near: int) -> DataFrame:
 
 def search(index: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, near: int = NEAR, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: items with an exact window, items with a proximity match, and the hit words as ranges."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     parts = [_search_block(index, b, near) for b in _blocks(items, width, block_bytes)]
     out = parts[0]
     if len(parts) == 1:

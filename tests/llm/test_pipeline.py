@@ -95,6 +95,13 @@ def test_short_repeated_lines_go(spark):
         assert (got[i].text, got[i].n_chars) == (want, None if t is None else len(want))
 
 
+def test_contaminated_documents_without_ids_go(spark, tables):
+    d, _, passage = tables
+    rows = [(None, "x " + passage), (None, "clean"), (-1, "clean"), (4, passage), (None, None)]
+    out = corpus_pipeline.without_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), d)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, rows[1:3] + rows[4:]))
+
+
 def test_stages_on_empty_tables(spark, tables):
     d, *_ = tables
     none = spark.read.parquet(f"{d}/documents.parquet").limit(0)

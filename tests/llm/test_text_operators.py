@@ -183,6 +183,16 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert not got[22].items and "1" in got[22].near_items
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_decontamination_without_ids(spark, block_bytes):
+    known, nameless = "a passage that has its own number", "another passage that has none at all"
+    docs = [(None, "x " + known), (-1, "clean"), (None, "clean too"), (5, nameless + " x"), (6, None), (None, None)]
+    items = spark.createDataFrame([("7", known), (None, nameless)], "item_id string, text string")
+    found = decontaminate.contamination(frame(spark, docs), items, block_bytes=block_bytes).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, list(r.items), list(r.near_items), [tuple(h) for h in r.hits]) for r in found)
+    assert got == [(False, -1, 1, [], [], []), (False, 5, 8, [], [], [(0, 7)]), (False, 6, 0, [], [], []), (True, 0, 0, [], [], []), (True, 0, 2, [], [], []), (True, 0, 8, ["7"], ["7"], [(1, 8)])]
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(frame(spark, []), none).count() == 0
