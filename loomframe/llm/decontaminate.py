@@ -76,7 +76,8 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         name = hashlib.sha256(ids.tobytes() + no_id.tobytes() + h.tobytes()).hexdigest()[:24]
         return T.batches_of([[name], [len(ids)], [ids.tobytes()], [no_id.tobytes()], [_pack(doc_start)], [sorted_h[at].tobytes()], [_pack(lengths)], [_pack(delta)]], schema.names, schema)
 
-    return stored(map_batches(id_and_text(docs, id_col, text_col), index, SEGMENT))
+    segments = map_batches(id_and_text(docs, id_col, text_col), index, SEGMENT)
+    return stored(segments.withColumn("segment", F.concat_ws("-", "segment", F.monotonically_increasing_id())))  # equal segments are told apart
 
 
 class _Segment:

@@ -193,6 +193,14 @@ def test_decontamination_without_ids(spark, block_bytes):
     assert got == [(False, -1, 1, [], [], []), (False, 5, 8, [], [], [(0, 7)]), (False, 6, 0, [], [], []), (True, 0, 0, [], [], []), (True, 0, 2, [], [], []), (True, 0, 8, ["7"], ["7"], [(1, 8)])]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_decontamination_keeps_repeated_segments(spark, block_bytes):
+    docs = frame(spark, [(1, "one short passage here"), (2, "nothing")])
+    items = spark.createDataFrame([("1", "short passage here"), ("2", "never there at all")], "item_id string, text string")
+    found = decontaminate.contamination(docs.unionByName(docs), items, block_bytes=block_bytes).collect()
+    assert sorted((r.doc_id, list(r.items), len(r.hits)) for r in found) == [(1, ["1"], 1)] * 2 + [(2, [], 0)] * 2
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(frame(spark, []), none).count() == 0
