@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks against license templates.
 
 Blocks are the lines of a document and, for templates of LONG words or more, its
-paragraphs (lines between blank ones).
+paragraphs (lines between blank ones). With `wrapped` above 1, shorter templates are also
+looked for in up to so many neighbouring lines of a paragraph, and given where no fewer lines hold them.
 A template is found in a block when at least `threshold` of the template's distinct
 words are among the block's. Words are ordered by their count over the whole corpus,
 rarest first. With `need = ceil(threshold * |template|)`, a block that reaches it
@@ -72,7 +73,7 @@ def _counts(df: DataFrame, vocab: np.ndarray) -> dict[int, int]:
     return {r.word: r.n for r in rows}
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=tuple(TEMPLATES), phrases=tuple(PHRASES.items()), threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=tuple(TEMPLATES), phrases=tuple(PHRASES.items()), threshold: float = 0.8, wrapped: int = 1) -> DataFrame:
     """One row a document: phrase places, labels, and the blocks that contain a template (byte offsets)."""
     df = id_and_text(docs, id_col, text_col)
     sets = [np.unique(T.hash_words([x], T.ALNUM)) for _, x in templates]
@@ -89,6 +90,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             probes.setdefault(x, []).append((k, p))
     is_probe = np.zeros(len(vocab), bool)
     is_probe[list(probes)] = True
+    is_short = np.zeros(len(vocab), bool)
+    is_short[[x for x, some in probes.items() if any(len(ranked[k]) < LONG for k, _ in some)]] = True
     members = [set(s.tolist()) for s in ranked]
     labels = [x for x, _ in templates]
     wanted = [(T.hash_words([p], T.ALNUM), label) for p, label in phrases]
@@ -152,6 +155,24 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         row = {"label": labels[k], "template": k, "start": start, "end": start + int(w.end[own[z - 1]] - w.start[own[a]]), "containment": c}
                         if row not in matches[d]:
                             matches[d].append(row)
+            if wrapped > 1 and len(own):
+                owner, line, paragraph = doc[own], np.searchsorted(newline, w.start[own]), np.searchsorted(blank, w.start[own])
+                edges = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])])
+                bounds, probed = np.r_[edges, len(own)], np.r_[0, np.cumsum(is_short[own_rank])]
+                held: dict[tuple[int, int], set[int]] = {}  # short templates in lines b to e of those that have any template word
+                for more in range(wrapped):
+                    b = np.arange(max(len(edges) - more, 0))
+                    x, y = edges[b], edges[b + more]
+                    near = (owner[x] == owner[y]) & (paragraph[x] == paragraph[y]) & (line[y] - line[x] < wrapped) & (probed[bounds[b + more + 1]] > probed[x])
+                    for i in np.flatnonzero(near).tolist():
+                        a, z, d = edges[i], bounds[i + more + 1], int(owner[edges[i]])
+                        fewer = held.get((i, i + more - 1), set()) | held.get((i + 1, i + more), set())
+                        found = [(k, c) for k, c in best_in(np.unique(own_rank[a:z]), 0) if len(ranked[k]) < LONG]
+                        held[i, i + more] = fewer | {k for k, _ in found}
+                        for k, c in found if more else ():
+                            if k not in fewer:
+                                start = int(w.start[own[a]] - w.start[w.doc_start[d]])
+                                matches[d].append({"label": labels[k], "template": k, "start": start, "end": start + int(w.end[own[z - 1]] - w.start[own[a]]), "containment": c})
             none = n_base == 0
             got = [sorted(base[i] | {m["label"] for m in matches[i]}) for i in range(n)]
             yield T.batches_of(
@@ -167,7 +188,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return scan_licenses(table(spark, sf_dir, "documents"), wrapped=3).drop("matches")
 
 
 QUERIES = {"op4_license_scan": op4_license_scan}

@@ -137,6 +137,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_wrapped_short_licenses(spark, tmp_path):
+    texts = ["x\nLicensed under CC\nBY-NC 4.0\ny", "Licensed\nunder CC\nBY-NC 4.0", "Licensed under CC\n\nBY-NC 4.0", "Licensed under\nx\ny\nCC BY-NC 4.0", "Licensed under CC BY-NC 4.0\nmore"]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, wrapped=3).collect()}
+    assert [got[i].labels for i in range(5)] == ["cc-by-nc", "cc-by-nc", "", "", "cc-by-nc"]
+    assert [len(got[i].matches) for i in range(5)] == [1, 1, 0, 0, 1] and got[0].matches[0].start == 2
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.labels for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()}[0] == "cc-by-nc"
+
+
 def test_license_join_finds_every_block_over_the_threshold(spark):
     import random
 
