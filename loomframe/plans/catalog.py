@@ -628,9 +628,13 @@ def _(s, d):
 # linear algebra on Gram matrices of embeddings by label
 
 
+#: Of an embedding.
+DIMENSIONS = 64
+
+
 def _grams(s, d):
-    """By label, the 4 x 4 Gram matrix of the first four dimensions plus the identity."""
-    e = load(s, d, "embeddings").select("label", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("x"))
+    """By label, the Gram matrix of all DIMENSIONS plus the identity."""
+    e = load(s, d, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     g = linalg.gram(e, "label", "x").withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
     return g.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "v"))), lambda t: t["v"]).alias("m"))
 
@@ -647,12 +651,12 @@ def _(s, d):
 
 @query("q116_solve")
 def _(s, d):
-    return _grams(s, d).select("label", linalg.solve(F.col("m"), F.slice("m", 1, 4)).alias("x"))
+    return _grams(s, d).select("label", linalg.solve(F.col("m"), F.slice("m", 1, DIMENSIONS)).alias("x"))
 
 
 @query("q117_svd")
 def _(s, d):
-    return _grams(s, d).select("label", linalg.svd(F.col("m"), 4, 4)["s"].alias("s"))
+    return _grams(s, d).select("label", linalg.svd(F.col("m"), DIMENSIONS, DIMENSIONS)["s"].alias("s"))
 
 
 @query("q118_tumbling", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -63,3 +63,19 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and not any(k.startswith('op') for k in e.queries()) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_linear_algebra_reads_whole_embeddings(spark):
+    import numpy as np
+
+    d = "/root/testdata/sf0.001"
+    by = {}
+    for x in spark.read.parquet(f"{d}/embeddings.parquet").collect():
+        by.setdefault(x.label, []).append(np.array(x.embedding, np.float64))
+    grams = {k: np.array(v).T @ np.array(v) + np.eye(64) for k, v in by.items()}
+    run = lambda name: {x[0]: x[1] for x in catalog.QUERIES[name](spark, d).collect()}
+    det, inv, solved, svd = map(run, ("q114_det", "q115_inv", "q116_solve", "q117_svd"))
+    for k, g in grams.items():
+        assert np.isclose(det[k], np.linalg.det(g), rtol=1e-6, atol=1e-4)
+        assert np.allclose(np.reshape(inv[k], (64, 64)) @ g, np.eye(64), atol=1e-6)
+        assert np.allclose(g @ solved[k], g[0], atol=1e-6) and np.allclose(svd[k], np.linalg.svd(g)[1])
