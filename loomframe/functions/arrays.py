@@ -158,6 +158,12 @@ class Long:
     def flat(self) -> Column:
         return reduce(lambda x, y: x + y, (F.col(a) * s for a, s in zip(self.axes, strides(self.shape), strict=True)), F.lit(0).cast("long"))
 
+    def preview(self, n: int = 12) -> str:
+        """Shape, size and the first n values in row-major order."""
+        first = self.df.select(self.flat().alias("at"), "v").orderBy("at").limit(n).collect()
+        data = " ".join(str(r.v) for r in first) + (" ..." if self.size > n else "")
+        return f"Long(shape={list(self.shape)}, size={self.size}, data=[{data}])"
+
     def map(self, fn: Callable[[Column], Column]) -> Long:
         return Long(self.df.withColumn("v", fn(F.col("v"))), self.shape)
 

@@ -384,3 +384,10 @@ def test_a_stream_of_events(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.k, r.n, r.total) for r in spark.table("sums").collect()] == [("a", 2, 3.0)]
+
+
+def test_long_preview(spark):
+    rows = [(i, j, 5 * i + j) for i in range(3) for j in range(5)]
+    x = A.Long(spark.createDataFrame(rows[::-1], "i0 long, i1 long, v long"), (3, 5))
+    assert x.preview() == "Long(shape=[3, 5], size=15, data=[0 1 2 3 4 5 6 7 8 9 10 11 ...])"
+    assert x.slice(slice(0, 1)).preview() == "Long(shape=[1, 5], size=5, data=[0 1 2 3 4])"
