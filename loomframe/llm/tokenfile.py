@@ -209,10 +209,12 @@ class WordTokens:
     hashes, some megabytes of text at a time; the ids of each different one come from memory, or its
     pieces, by the vocabulary's own splitting pattern, go to the library's model. All other
     texts, and those with strings of special tokens, go to the library whole, and so do all
-    texts where the vocabulary is split in another way.
+    texts where the vocabulary is normalised or split in another way. Memory keeps the words that were met in two
+    runs or more, and the others and the pieces of words for a while.
     """
 
-    MEMORY = 250_000
+    #: Words that are kept, and words that are kept for a while, until they are met again.
+    MEMORY, FRESH = 150_000, 100_000
     #: Fixed value: the splitting pattern of the vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -226,18 +228,30 @@ class WordTokens:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"].get("pretokenizers") or [{}]
-        own = steps[0].get("pattern") == {"Regex": self.PATTERN} and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space")
+            told = json.load(f)
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        own = _lowers(told["normalizer"]) and steps[0].get("pattern") == {"Regex": self.PATTERN} and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space")
         self.cut = regex.compile(self.PATTERN) if own else None
+        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[int, bytes] = {}
+        self.fresh: dict[int, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
         """Ids of a word: the library's model on the byte symbols of its pieces, as its pre-tokenizer gives them."""
-        out = array("i")
-        for p in [word] if word.isalpha() else self.cut.findall(word):
-            symbols = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols)
-            out.extend([t.id for t in self.tokenizer.model.tokenize(symbols)])
-        return out.tobytes()
+        if word.isalpha():
+            return self._piece(word)
+        pieces, out = self.pieces, []
+        for p in self.cut.findall(word):
+            got = pieces.get(p)
+            if got is None:
+                got = pieces[p] = self._piece(p)
+            out.append(got)
+        return b"".join(out)
+
+    def _piece(self, p: str) -> bytes:
+        symbols = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols)
+        return array("i", [t.id for t in self.tokenize(symbols)]).tobytes()
 
     def _plain(self, x: str) -> bool:
         try:
@@ -249,23 +263,39 @@ class WordTokens:
     def _run(self, words: T.Words) -> list[np.ndarray]:
         """Ids of each document of a run."""
         different, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        known, each = self.known, []
-        for h, k in zip(different.tolist(), first.tolist(), strict=True):
+        known, fresh, each, new = self.known, self.fresh, [], []
+        for n, h in enumerate(different.tolist()):
             got = known.get(h)
             if got is None:
-                got = known[h] = self._ids(words.data[words.start[k] : words.end[k]].tobytes().decode())
+                got = fresh.pop(h, None)
+                if got is None:
+                    new.append(n)
+                else:
+                    known[h] = got
             each.append(got)
+        if new:
+            raw, place = words.data.tobytes(), first[new]
+            for n, h, a, z in zip(new, different[new].tolist(), words.start[place].tolist(), words.end[place].tolist(), strict=True):
+                each[n] = fresh[h] = self._ids(raw[a:z].decode())
+        for some, limit in ((known, self.MEMORY), (fresh, self.FRESH), (self.pieces, self.FRESH)):
+            if len(some) > limit:
+                for old in list(islice(some, len(some) - limit // 2)):
+                    del some[old]
         return T.gathered(each, which, words.doc_start)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.MEMORY:
-            for old in list(islice(self.known, self.MEMORY // 2)):
-                del self.known[old]
         plain = [self._plain(x) for x in texts]
         out = [x for words in T.words_in(pa.array([x.lower() if p else "" for x, p in zip(texts, plain, strict=True)], pa.string()), T.SPACED, RUN) for x in self._run(words)]
         return [x if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for x, t, p in zip(out, texts, plain, strict=True)]
 
 
+def _lowers(normalizer: dict | None) -> bool:
+    """Whether all that a normaliser does to Latin-1 words is to lower-case them: NFC leaves them, as does white space read as spaces."""
+    steps = (normalizer or {}).get("normalizers") or [normalizer or {}]
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    return {"type": "Lowercase"} in steps and all(x in ({"type": "Lowercase"}, {"type": "NFC"}, spaces) for x in steps)
+
+
 _loaded: dict[str, WordTokens] = {}
 
 
@@ -281,14 +311,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Texts tokenised at once.
-GROUP = 400
+#: Texts tokenised at once, and bytes of text a file holds, about.
+GROUP, FILE_BYTES = 400, 16 << 20
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; the result, stored, has a row a file: file, part, n_docs, n_tokens."""
     bounded(docs.sparkSession)
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    given = id_and_text(docs, id_col, text_col)
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    ordered = given.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = arrow_schema(ddl := "file string, part long, n_docs long, n_tokens long")
 
     def write(batches):
