@@ -56,7 +56,15 @@ RUN = 1 << 20
 
 def table_of(ids: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that occur, ascending, and their frequencies, each at least 1, which add up to 2**scale."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    top = int(ids.max(initial=0)) + 1
+    if int(ids.min(initial=0)) >= 0 and top <= 1 << 24:
+        every = np.zeros(top, np.int64)
+        for k in range(0, len(ids), 1 << 20):
+            every += np.bincount(ids[k : k + (1 << 20)], minlength=top)
+        symbols = np.flatnonzero(every)
+        counts = every[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     total = 1 << scale
     if len(symbols) > total:
         raise ValueError("more symbols than the table has slots")
@@ -140,7 +148,9 @@ def decode_blocks(streams: list[np.ndarray], counts: list[int], states: np.ndarr
 def write_file(path: str, doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray) -> None:
     """One file: ids are those of all documents in order."""
     symbols, freqs = table_of(ids)
-    index = np.searchsorted(symbols, ids)
+    index = np.empty(len(ids), np.int32)
+    for k in range(0, len(ids), 1 << 20):
+        index[k : k + (1 << 20)] = np.searchsorted(symbols, ids[k : k + (1 << 20)])
     blocks, streams, first = [], [], 0
     for k, (n, words, state) in enumerate(encode_blocks(index, freqs)):
         crc = zlib.crc32(ids[k * BLOCK : k * BLOCK + n].astype("<u4").tobytes())
@@ -148,7 +158,7 @@ def write_file(path: str, doc_ids: list[int], lengths: np.ndarray, ids: np.ndarr
         streams.append(words.astype("<u4"))
         first += len(words)
     header = {"scale": SCALE, "lanes": LANES, "block": BLOCK, "n_tokens": len(ids), "symbols": symbols.tolist(), "freqs": freqs.tolist(), "blocks": blocks, "docs": [doc_ids, lengths.tolist()]}
-    packed = zstandard.ZstdCompressor(level=3).compress(json.dumps(header).encode())
+    packed = zstandard.ZstdCompressor(level=3, write_checksum=True).compress(json.dumps(header).encode())
     temporary = f"{path}.{uuid.uuid4().hex}"
     with open(temporary, "wb") as f:
         f.write(MAGIC + struct.pack("<Q", len(packed)) + packed)
@@ -166,7 +176,10 @@ class TokenFile:
             if f.read(8) != MAGIC:
                 raise ValueError(f"{path} is not a token file")
             (n,) = struct.unpack("<Q", f.read(8))
-            self.header = json.loads(zstandard.ZstdDecompressor().decompress(f.read(n)))
+            try:
+                self.header = json.loads(zstandard.ZstdDecompressor().decompress(f.read(n)))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"{path}: the header's checksum differs") from e
         self.data_at = 16 + n
         self.symbols, self.freqs = (np.array(self.header[k], np.int64) for k in ("symbols", "freqs"))
         self.doc_ids, self.lengths = self.header["docs"][0], np.array(self.header["docs"][1], np.int64)
@@ -214,7 +227,7 @@ class WordTokens:
     """
 
     #: Words that are kept, and words that are kept for a while, until they are met again.
-    MEMORY, FRESH = 150_000, 100_000
+    MEMORY, FRESH = 120_000, 80_000
     #: Fixed value: the splitting pattern of the vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -320,23 +333,23 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int =
     bounded(docs.sparkSession)
     given = id_and_text(docs, id_col, text_col)
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    n_files = max(1, -(-size // FILE_BYTES))
     ordered = given.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = arrow_schema(ddl := "file string, part long, n_docs long, n_tokens long")
 
     def write(batches):
         part = TaskContext.get().partitionId()
         doc_ids, lengths, ids = [], [], []
-        tail = np.array([end_id], np.uint32)
+        tail = np.array([end_id], np.int32)
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
             for i in range(0, batch.num_rows, GROUP):
                 for one in loaded(vocabulary).encode([x.as_py() or "" for x in batch.column(1)[i : i + GROUP]]):
                     lengths.append(len(one) + 1)
-                    ids += [one.astype(np.uint32), tail]  # 4 bytes an id: a task holds its own range's ids only
+                    ids += [one, tail]  # 4 bytes an id: a task holds its own range's ids only
         if doc_ids:
             path = os.path.join(folder, f"part-{part:06d}.rans")
-            write_file(path, doc_ids, np.array(lengths, np.int64), np.concatenate(ids).astype(np.int64))
+            write_file(path, doc_ids, np.array(lengths, np.int64), np.concatenate(ids))
             yield T.batches_of([[path], [part], [len(doc_ids)], [sum(lengths)]], schema.names, schema)
 
     return stored(ordered.mapInArrow(write, ddl))
