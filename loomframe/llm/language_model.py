@@ -7,7 +7,8 @@ partitions by its next words, so the commonest word makes no hot one. A partitio
 sums its pairs, writes them as a sorted array of 64-bit hashes with their counts,
 and sends the contexts' and the words' own sums on in the same way. What the driver sees
 are counts of counts. The files lie in the shared folder; workers map them into memory
-and look words and pairs up by binary search, so a worker holds no part of the model.
+and look words and pairs up by binary search, so a worker holds no part of the model. Words
+keep all 64 bits of their hashes, pairs, triples and contexts those that tell them apart.
 
 P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P1(w), and P1 is the same over
 continuation counts, interpolated with 1 / (V + 1); D has three values at each level,
@@ -142,11 +143,64 @@ def _mapped(path: str, kinds) -> list[np.ndarray]:
     return out
 
 
+def _padded(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x).tobytes()
+    return raw + b"\0" * (-len(raw) % 8)
+
+
+def _write_table(path: str, key: np.ndarray, *columns: np.ndarray) -> None:
+    """Ascending 64-bit hashes with their columns: where each value of the first bits begins, and the 32 bits after those.
+
+    A value of the first bits has some eight hashes, however many there are, so a hash that
+    is not there meets another with a chance of about 2**-28.
+    """
+    n = len(key)
+    bits = max(0, n.bit_length() - 4)
+    begin = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, n])
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as f:
+        f.write(struct.pack("<qq", n, bits))
+        for c in (begin.astype(np.uint32), (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), *columns):
+            f.write(_padded(c))
+    os.replace(temporary, path)
+
+
+class _Table:
+    """A written table, mapped."""
+
+    def __init__(self, path: str, kinds):
+        with open(path, "rb") as f:
+            self.n, self.bits = struct.unpack("<qq", f.read(16))
+        raw, at, out = np.memmap(path, np.uint8, "r") if self.n else np.empty(0, np.uint8), 16, []
+        for kind, n in ((np.uint32, (1 << self.bits) + 1), (np.uint32, self.n), *((k, self.n) for k in kinds)):
+            size = n * np.dtype(kind).itemsize
+            out.append(raw[at : at + size].view(kind) if self.n else np.empty(0, kind))
+            at += size + -size % 8
+        self.begin, self.low, *self.columns = out
+
+    def search(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands, and whether it does."""
+        if not self.n:
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        top = (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        low, want = self.low, (key << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
+        at, end = self.begin[top].astype(np.int64), self.begin[top + 1].astype(np.int64)
+        stop = end.copy()
+        for _ in range(int((end - at).max(initial=0)).bit_length()):
+            middle = (at + end) >> 1
+            less = (at < end) & (low[np.minimum(middle, self.n - 1)] < want)
+            at, end = np.where(less, middle + 1, at), np.where(less, end, middle)
+        hit = at < stop
+        at = np.minimum(at, self.n - 1)
+        return at, hit & (low[at] == want)
+
+
 def _pack_grams(columns: list[np.ndarray], c: np.ndarray) -> bytes:
     """Grams as places in the block's own list of words, byte by byte, so that they take little of a shuffle."""
     words, place = np.unique(np.concatenate(columns), return_inverse=True)
     planes = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    return struct.pack("<q", len(words)) + _pack(c) + zstandard.ZstdCompressor(level=1).compress(words.tobytes() + np.ascontiguousarray(planes).tobytes())
+    steps = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return struct.pack("<q", len(words)) + _pack(c) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps).tobytes() + np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack_grams(block: bytes, order: int) -> list[np.ndarray]:
@@ -155,16 +209,17 @@ def _unpack_grams(block: bytes, order: int) -> list[np.ndarray]:
     counts = zstandard.ZstdDecompressor().decompressobj()
     c = np.frombuffer(counts.decompress(block[16:]), np.int64, n)
     raw = zstandard.ZstdDecompressor().decompress(counts.unused_data)
-    words = np.frombuffer(raw, np.uint64, n_words)
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n_words).reshape(8, -1).T).view(np.uint64).ravel()
+    words = np.cumsum(steps, dtype=np.uint64)
     place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * order * n, 8 * n_words).reshape(4, -1).T).view(np.uint32).ravel()
     return [*words[place].reshape(order, n), c]
 
 
-PAIR_KINDS = (np.uint64, np.uint8)  # count 255: see the overflow file
-OVER_KINDS = (np.uint64, np.int64)
-CONTEXT_KINDS = (np.uint64, np.uint8)  # which of the partition's SUMS_KINDS rows; 255: see the overflow file
+PAIR_KINDS = (np.uint8,)  # count 255: see the overflow file
+OVER_KINDS = (np.int64,)
+CONTEXT_KINDS = (np.uint8,)  # which of the partition's SUMS_KINDS rows; 255: see the overflow file
 SUMS_KINDS = (np.int64,) * 4  # tokens, N1, N2, N3+
-CONTEXT_OVER_KINDS = (np.uint64, *SUMS_KINDS)
+CONTEXT_OVER_KINDS = SUMS_KINDS
 WORD_KINDS = (np.uint64, *[np.int64] * 6)  # count, as context: tokens, N1, N2, N3+; continuations
 
 
@@ -203,9 +258,9 @@ def _count_grams(texts: DataFrame, parts: int, order: int) -> DataFrame:
 
 
 def _write_counts(folder: str, kind: str, over: str, part: int, key: np.ndarray, c: np.ndarray) -> None:
-    _write(f"{folder}/{kind}-{part:06d}", key, np.minimum(c, 255).astype(np.uint8))
+    _write_table(f"{folder}/{kind}-{part:06d}", key, np.minimum(c, 255).astype(np.uint8))
     big = c >= 255
-    _write(f"{folder}/{over}-{part:06d}", key[big], c[big])
+    _write_table(f"{folder}/{over}-{part:06d}", key[big], c[big])
 
 
 def _classed(c: np.ndarray) -> list[np.ndarray]:
@@ -223,10 +278,10 @@ def _write_contexts(folder: str, part: int, u: np.ndarray, v: np.ndarray, c: np.
     code[common] = np.arange(len(common))
     which = np.full(len(key), 255, np.uint8)
     which[small] = code[inverse]
-    _write(f"{folder}/contexts-{part:06d}", key, which)
+    _write_table(f"{folder}/contexts-{part:06d}", key, which)
     _write(f"{folder}/sums-{part:06d}", *((kinds[common] >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4)))
     rare = which == 255
-    _write(f"{folder}/contextover-{part:06d}", key[rare], *(x[rare] for x in sums))
+    _write_table(f"{folder}/contextover-{part:06d}", key[rare], *(x[rare] for x in sums))
 
 
 def _merge_grams(blocks: DataFrame, folder: str, parts: int, order: int) -> DataFrame:
@@ -258,15 +313,21 @@ def _merge_grams(blocks: DataFrame, folder: str, parts: int, order: int) -> Data
             yield T.batches_of([[-1], [json.dumps(told).encode()]], schema.names, schema)
 
     gathered = blocks.groupBy("part").agg(F.collect_list("block").alias("blocks"))  # a partition's own share of the distinct pairs
-    return stored(map_batches(gathered, run, BLOCKS))
+    return map_batches(gathered, run, BLOCKS)
 
 
 def _merge_words(blocks: DataFrame, folder: str) -> DataFrame:
-    """Writes each partition's words; gives counts of counts."""
+    """Writes each partition's words; gives counts of counts, and at part -1 those of the grams."""
     schema = arrow_schema("part int, told string")
 
     def run(batch):
         for part, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part < 0:  # some numbers of each partition
+                total: dict[str, int] = {}
+                for one in map(json.loads, some):
+                    total |= {k: total.get(k, 0) + n for k, n in one.items()}
+                yield T.batches_of([[part], [json.dumps(total)]], schema.names, schema)
+                continue
             words, *sums = (np.concatenate(x) for x in zip(*(_unpack(b, WORD_KINDS) for b in some), strict=True))
             words, _, sums = _summed(words, sums)
             _write(f"{folder}/words-{part:06d}", words, *sums)
@@ -275,7 +336,7 @@ def _merge_words(blocks: DataFrame, folder: str) -> DataFrame:
             told = {"tokens": int(count.sum()), "vocabulary": int(seen.sum()), **{f"m{k}": int((follows[seen] == k).sum()) for k in range(1, 5)}, "m3up": int((follows[seen] >= 3).sum())}
             yield T.batches_of([[part], [json.dumps(told)]], schema.names, schema)
 
-    gathered = blocks.where("part >= 0").groupBy("part").agg(F.collect_list("block").alias("blocks"))
+    gathered = blocks.groupBy("part").agg(F.collect_list("block").alias("blocks"))
     return stored(map_batches(gathered, run, "part int, told string"))
 
 
@@ -302,29 +363,37 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def _file(self, name: str, kinds) -> list[np.ndarray]:
+    def _file(self, name: str, kinds):
         if name in self._open:
             return self._open[name]
         path = f"{self.folder}/{name}"
-        out = _mapped(path, kinds) if os.path.exists(path) else [np.empty(0, k) for k in kinds]
+        if name.startswith(("words", "sums")):
+            out = _mapped(path, kinds) if os.path.exists(path) else [np.empty(0, k) for k in kinds]
+        else:
+            out = _Table(path, kinds) if os.path.exists(path) else None
         if self.order == 2 or name.startswith("words"):  # the tables of order three are let go, or they would fill a worker's memory
             self._open[name] = out
         return out
 
     def _find(self, kind: str, kinds, part: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
         """The columns of each key, 0 where there is none."""
-        out = [np.zeros(len(key), np.int64) for _ in kinds[1:]]
+        whole = kind == "words"
+        out = [np.zeros(len(key), np.int64) for _ in (kinds[1:] if whole else kinds)]
         order = np.lexsort((key, part))
         edge = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for p in range(self.parts):
+        for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
             some = order[edge[p] : edge[p + 1]]
-            if not len(some):
-                continue
-            have, *columns = self._file(f"{kind}-{p:06d}", kinds)
-            if not len(have):
+            table = self._file(f"{kind}-{p:06d}", kinds)
+            if whole:
+                have, *columns = table
+                if not len(have):
+                    continue
+                at = np.minimum(np.searchsorted(have, key[some]), len(have) - 1)
+                hit = have[at] == key[some]
+            elif table is None:
                 continue
-            at = np.minimum(np.searchsorted(have, key[some]), len(have) - 1)
-            hit = have[at] == key[some]
+            else:
+                columns, (at, hit) = table.columns, table.search(key[some])
             for o, c in zip(out, columns, strict=True):
                 o[some[hit]] = c[at[hit]]
         return out
@@ -361,12 +430,11 @@ class Model:
                 some = order[edge[p] : edge[p + 1]]
                 if not len(some):
                     continue
-                have, which = self._file(f"contexts-{p:06d}", CONTEXT_KINDS)
-                if not len(have):
+                table = self._file(f"contexts-{p:06d}", CONTEXT_KINDS)
+                if table is None or not table.n:
                     continue
-                at = np.minimum(np.searchsorted(have, key[some]), len(have) - 1)
-                hit = have[at] == key[some]
-                some, code = some[hit], which[at[hit]]
+                at, hit = table.search(key[some])
+                some, code = some[hit], table.columns[0][at[hit]]
                 common = code < 255
                 for o, x in zip(out, self._file(f"sums-{p:06d}", SUMS_KINDS), strict=True):
                     o[some[common]] += x[code[common]]
@@ -405,12 +473,10 @@ def train(texts: DataFrame, folder: str, *, order: int = 2, partition_bytes: int
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-size * order // (2 * partition_bytes)))
-    told_pairs = _merge_grams(_count_grams(texts, parts, order), folder, parts, order)
-    told_words = _merge_words(told_pairs, folder)
+    told = _merge_words(_merge_grams(_count_grams(texts, parts, order), folder, parts, order), folder)
     sums = dict.fromkeys(("pairs", "n1", "n2", "n3", "n4", "tokens", "vocabulary", "m1", "m2", "m3", "m4", "m3up", "t1", "t2", "t3", "t4"), 0)
-    for rows in (told_pairs.where("part = -1").select(F.col("block").cast("string").alias("told")), told_words.select("told")):
-        for r in rows.select(F.from_json("told", "map<string,bigint>").alias("m")).select(F.explode("m")).groupBy("key").agg(F.sum("value").alias("n")).collect():
-            sums[r.key] += r.n
+    for r in told.select(F.from_json("told", "map<string,bigint>").alias("m")).select(F.explode("m")).groupBy("key").agg(F.sum("value").alias("n")).collect():
+        sums[r.key] += r.n
     return Model(folder, parts, sums, order)
 
 
