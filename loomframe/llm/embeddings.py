@@ -29,7 +29,7 @@ from .components import components
 
 THRESHOLD = 0.98
 #: Vectors of a block, on average.
-BLOCK = 512
+BLOCK = 2048
 #: Pairs that are computed again at once.
 AGAIN = 1 << 15
 
@@ -38,6 +38,17 @@ PACKED = "label string, dim int, block int, n_blocks int, ids binary, times bina
 FOUND = "node long, links long, root long"
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """v times a power of two that brings its largest component near 1, which changes no cosine and keeps its norm from over- or underflow; in float32 where that holds all of it."""
+    v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+    short = v.astype(np.float32)
+    return short if (short == v).all() else v
+
+
+def _vector(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64)
+
+
 def _valid(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     ids, labels, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
     out = []
@@ -46,22 +57,21 @@ def _valid(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
         if i is None or labels[k] is None or not x.is_valid or not len(x) or x.values.null_count:
             continue
         v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        norm = float(v @ v)
-        if np.isfinite(v).all() and 0 < norm < np.inf:
-            raw = v.tobytes()
-            out.append((i, labels[k], len(v), hashlib.blake2b(raw + b"\0" + labels[k].encode(), digest_size=16).hexdigest(), raw))
+        if np.isfinite(v).all() and v.any():
+            key = hashlib.blake2b(v.tobytes() + b"\0" + labels[k].encode(), digest_size=16).hexdigest()
+            out.append((i, labels[k], len(v), key, _scaled(v).tobytes()))
     return T.batches_of(list(zip(*out, strict=True)) if out else [[]] * 5, schema.names, schema)
 
 
 def _pack(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     out = []
     for row in batch.to_pylist():
-        x = np.stack([np.frombuffer(r["vector"], np.float64) for r in row["rows"]])
+        x = np.stack([_vector(r["vector"], row["dim"]) for r in row["rows"]])
         unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
         scale = np.abs(unit).max(axis=1) / 127
         q = np.rint(unit / scale[:, None])
         error = np.sqrt(((unit - q * scale[:, None]) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-12
-        out.append((row["label"], row["dim"], row["block"], row["n_blocks"], np.array([r["node"] for r in row["rows"]], np.int64).tobytes(), np.array([r["times"] for r in row["rows"]], np.int64).tobytes(), x.tobytes(), q.astype(np.int8).tobytes(), scale.tobytes(), error.tobytes()))
+        out.append((row["label"], row["dim"], row["block"], row["n_blocks"], np.array([r["node"] for r in row["rows"]], np.int64).tobytes(), np.array([r["times"] for r in row["rows"]], np.int64).tobytes(), (x.astype(np.float32) if all(len(r["vector"]) == 4 * row["dim"] for r in row["rows"]) else x).tobytes(), q.astype(np.int8).tobytes(), scale.tobytes(), error.tobytes()))
     return T.batches_of(list(zip(*out, strict=True)), schema.names, schema)
 
 
@@ -88,7 +98,8 @@ def _compare(batch: pa.RecordBatch, schema: pa.Schema, threshold: float):
         sides = []
         for s in "ab":
             f = lambda name, kind, s=s: np.frombuffer(row[f"{s}_{name}"], kind)
-            sides.append((f("ids", np.int64), f("times", np.int64), f("vectors", np.float64).reshape(-1, dim), (f("quant", np.int8).reshape(-1, dim), f("scale", np.float64), f("error", np.float64))))
+            ids = f("ids", np.int64)
+            sides.append((ids, f("times", np.int64), _vector(row[f"{s}_vectors"], dim * len(ids)).reshape(-1, dim), (f("quant", np.int8).reshape(-1, dim), f("scale", np.float64), f("error", np.float64))))
         (ia, ta, va, qa), (ib, tb, vb, qb) = sides
         same = row["a_block"] == row["b_block"]
         linked = links_of(va, vb, threshold, (qa, qb))
