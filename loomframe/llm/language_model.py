@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import arrow_schema, bounded, id_and_text, map_batches, shared_path, stored, table
+from .common import arrow_schema, bounded, id_and_text, map_batches, release, shared_path, stored, table
 
 #: Stand for the places before a text and after it.
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xA0761D6478BD642F)
@@ -220,7 +220,8 @@ OVER_KINDS = (np.int64,)
 CONTEXT_KINDS = (np.uint8,)  # which of the partition's SUMS_KINDS rows; 255: see the overflow file
 SUMS_KINDS = (np.int64,) * 4  # tokens, N1, N2, N3+
 CONTEXT_OVER_KINDS = SUMS_KINDS
-WORD_KINDS = (np.uint64, *[np.int64] * 6)  # count, as context: tokens, N1, N2, N3+; continuations
+SENT_KINDS = (np.uint64, *[np.int64] * 6)  # count, as context: tokens, N1, N2, N3+; continuations
+WORD_KINDS = (np.uint64, *[np.uint8] * 6)  # the same where all are under 255; else 255: see the overflow file
 
 
 def _count_grams(texts: DataFrame, parts: int, order: int) -> DataFrame:
@@ -229,6 +230,7 @@ def _count_grams(texts: DataFrame, parts: int, order: int) -> DataFrame:
 
     def send(held):
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
         _, first, (c,) = _summed(_gram_key(columns), [np.ones(len(columns[0]), np.int64)])
         columns = [x[first] for x in columns]
         part = _pair_part(*columns[-2:], parts)
@@ -250,8 +252,10 @@ def _count_grams(texts: DataFrame, parts: int, order: int) -> DataFrame:
                 if size * order >= 2 * FLUSH:
                     yield from send(held)
                     held, size = [], 0
+                    release()
         if held:
             yield from send(held)
+        release()
 
     bounded(texts.sparkSession)
     return texts.select("text").mapInArrow(run, BLOCKS)
@@ -263,6 +267,16 @@ def _write_counts(folder: str, kind: str, over: str, part: int, key: np.ndarray,
     _write_table(f"{folder}/{over}-{part:06d}", key[big], c[big])
 
 
+def _joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of several pieces put together; the pieces are let go column by column."""
+    out = []
+    for k in range(len(pieces[0])):
+        out.append(np.concatenate([x[k] for x in pieces]))
+        for x in pieces:
+            x[k] = None
+    return out
+
+
 def _classed(c: np.ndarray) -> list[np.ndarray]:
     return [(c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
 
@@ -291,7 +305,7 @@ def _merge_grams(blocks: DataFrame, folder: str, parts: int, order: int) -> Data
     def run(batch):
         for part, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             read = (lambda b: _unpack_grams(b, order)) if order > 2 else lambda b: _unpack(b, (np.uint64, np.uint64, np.int64))
-            *columns, c = (np.concatenate(x) for x in zip(*map(read, some), strict=True))
+            *columns, c = _joined([read(b) for b in some])
             key, first, (c,) = _summed(_gram_key(columns), [c])
             columns = [x[first] for x in columns]
             v, w, told, raw = *columns[-2:], {}, c
@@ -328,9 +342,11 @@ def _merge_words(blocks: DataFrame, folder: str) -> DataFrame:
                     total |= {k: total.get(k, 0) + n for k, n in one.items()}
                 yield T.batches_of([[part], [json.dumps(total)]], schema.names, schema)
                 continue
-            words, *sums = (np.concatenate(x) for x in zip(*(_unpack(b, WORD_KINDS) for b in some), strict=True))
+            words, *sums = _joined([_unpack(b, SENT_KINDS) for b in some])
             words, _, sums = _summed(words, sums)
-            _write(f"{folder}/words-{part:06d}", words, *sums)
+            big = np.any([x >= 255 for x in sums], axis=0)
+            _write(f"{folder}/words-{part:06d}", words, *(np.where(big, 255, x).astype(np.uint8) for x in sums))
+            _write(f"{folder}/wordover-{part:06d}", words[big], *(x[big] for x in sums))
             count, follows = sums[0], sums[5]
             seen = count > 0
             told = {"tokens": int(count.sum()), "vocabulary": int(seen.sum()), **{f"m{k}": int((follows[seen] == k).sum()) for k in range(1, 5)}, "m3up": int((follows[seen] >= 3).sum())}
@@ -367,17 +383,17 @@ class Model:
         if name in self._open:
             return self._open[name]
         path = f"{self.folder}/{name}"
-        if name.startswith(("words", "sums")):
+        if name.startswith(("word", "sums")):
             out = _mapped(path, kinds) if os.path.exists(path) else [np.empty(0, k) for k in kinds]
         else:
             out = _Table(path, kinds) if os.path.exists(path) else None
-        if self.order == 2 or name.startswith("words"):  # the tables of order three are let go, or they would fill a worker's memory
+        if self.order == 2 or name.startswith("word"):  # the tables of order three are let go, or they would fill a worker's memory
             self._open[name] = out
         return out
 
     def _find(self, kind: str, kinds, part: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
         """The columns of each key, 0 where there is none."""
-        whole = kind == "words"
+        whole = kind.startswith("word")
         out = [np.zeros(len(key), np.int64) for _ in (kinds[1:] if whole else kinds)]
         order = np.lexsort((key, part))
         edge = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -399,7 +415,13 @@ class Model:
         return out
 
     def words(self, w: np.ndarray) -> list[np.ndarray]:
-        return self._find("words", WORD_KINDS, _word_part(w, self.parts), w)
+        part = _word_part(w, self.parts)
+        out = self._find("words", WORD_KINDS, part, w)
+        big = np.flatnonzero(out[0] == 255)
+        if len(big):
+            for o, x in zip(out, self._find("wordover", SENT_KINDS, part[big], w[big]), strict=True):
+                o[big] = x
+        return out
 
     def _counts(self, kind: str, over: str, part: np.ndarray, key: np.ndarray) -> np.ndarray:
         (c,) = self._find(kind, PAIR_KINDS, part, key)
@@ -486,7 +508,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batch):
         ids = batch.column(0)
-        for words in T.words_in(batch.column(1), T.SPACED, 4 << 20):
+        for words in T.words_in(batch.column(1), T.SPACED, 2 << 20):
             gram, at = grams_of(words, model.order)
             p, base, count = model.log10(*gram)
             known = np.add.reduceat((count > 0).astype(np.int64), at[:-1])

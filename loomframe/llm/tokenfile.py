@@ -41,7 +41,7 @@ from pyspark.sql import types as ST
 
 from . import text as T
 from .bpe import byte_symbols
-from .common import arrow_schema, bounded, id_and_text, map_batches, shared_path, stored, table
+from .common import arrow_schema, bounded, id_and_text, map_batches, release, shared_path, stored, table
 
 MAGIC = b"RANSTOK1"
 SCALE, LANES, BLOCK = 20, 32, 1 << 15
@@ -342,6 +342,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int =
         doc_ids, lengths, ids = [], [], []
         tail = np.array([end_id], np.int32)
         for batch in batches:
+            release()
             doc_ids += batch.column(0).to_pylist()
             for i in range(0, batch.num_rows, GROUP):
                 for one in loaded(vocabulary).encode([x.as_py() or "" for x in batch.column(1)[i : i + GROUP]]):
