@@ -2,11 +2,13 @@
 
 Base kinds are plain patterns. The structural kinds are reported only when their
 bytes parse: `pem` (base64 between private-key armour lines decodes to one DER
-element whose nested lengths add up), `der` (a long base64 or hex run that decodes to
-such an element), `ssh` (length-prefixed fields whose first names the key type), `jwt`
+element whose nested lengths add up), `der` (such an element of 30 bytes or more in a run of
+base64, which may be wrapped over lines, or of hex; every place in the run may be its start, and
+its own header says where it ends), `ssh` (length-prefixed fields whose first names the key type), `jwt`
 (a header that decodes to JSON with an algorithm, a JSON payload and a signature).
 
-Defined results: a null text is empty and has no spans; offsets are code points, the
+Defined results: a null text is empty and has no spans; structural spans may overlap base
+ones, but an element found in armour, or inside another one, is not given again; offsets are code points, the
 end exclusive; repeated rows give repeated results; other columns are not read; an
 empty table gives an empty result. A text is searched whole, however long.
 """
@@ -37,8 +39,13 @@ _hex = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)  # the same runs: a maximal run of
 _pem = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _ssh = re.compile(r"(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2-nistp\d+) (AAAA[A-Za-z0-9+/]+=*)")
 _jwt = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_b64 = re.compile(r"M[A-P][A-Za-z0-9+/]{38,}={0,2}")  # base64 of a DER sequence of over 30 bytes begins so
-_hexder = re.compile(r"30[0-9a-fA-F]{62,}")
+_b64 = re.compile(r"[A-Za-z0-9+/]{20,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]+)*")
+_sequence64 = re.compile(r"(?=M[A-P])")  # base64 of a sequence's tag, 0x30, begins so
+_hexrun = re.compile(r"[0-9a-fA-F]{60,}")
+_sequence16 = re.compile(r"(?=30)")
+_blanks = re.compile(r"\s+")
+#: The least bytes of a key, tag and length included.
+MIN_KEY = 30
 
 
 def decode64(x: str, url: bool = False) -> bytes | None:
@@ -71,14 +78,82 @@ def der_children(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes | None) -> bool:
-    """One sequence of two or more elements, an integer or a sequence first, with nested lengths that fit."""
+    """One sequence of two or more elements, an integer or a sequence first, with lengths that fit on all levels."""
     if not data or data[0] != 0x30:
         return False
     top = der_children(data)
     if not top or len(top) != 1:
         return False
     inner = der_children(top[0][1])
-    return bool(inner) and len(inner) >= 2 and inner[0][0] in (0x02, 0x30) and all(der_children(c) is not None for t, c in inner if t == 0x30)
+    if not inner or len(inner) < 2 or inner[0][0] not in (0x02, 0x30):
+        return False
+    todo = [c for t, c in inner if t & 0x20]  # constructed: it holds elements itself
+    while todo:
+        some = der_children(todo.pop())
+        if some is None:
+            return False
+        todo += [c for t, c in some if t & 0x20]
+    return True
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the element that begins here, tag and length included, if its first child can be a key's."""
+    if len(head) < 3 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or len(head) < 3 + k:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k], "big"), 2 + k
+    return at + n if head[at] in (0x02, 0x30) else None
+
+
+def find_der(x: str) -> list[tuple[int, int]]:
+    """Spans of the DER keys in base64 and hex runs."""
+    out = []
+    for m in _b64.finditer(x):
+        run, at = m[0], 0
+        if "M" not in run:
+            continue
+        gaps = [g.span() for g in _blanks.finditer(run)]
+        run = _blanks.sub("", run) if gaps else run
+        if len(run) * 3 < MIN_KEY * 4:
+            continue
+
+        def place(k, gaps=gaps, begin=m.start()):  # of a character of the run without blanks
+            for a, z in gaps:
+                if a > k:
+                    break
+                k += z - a
+            return begin + k
+
+        for s in _sequence64.finditer(run):
+            i = s.start()
+            if i < at:
+                continue
+            size = der_size(decode64(run[i : i + 12]) or b"")
+            chars = -(-4 * (size or 0) // 3)
+            if size is None or size < MIN_KEY or i + chars > len(run):
+                continue
+            key = decode64(run[i : i + chars])
+            if key and is_der_key(key[:size]):
+                at, end = i + chars, place(i + chars - 1) + 1
+                while end < len(x) and x[end] == "=" and (end - place(i + chars - 1) - 1) < -chars % 4:
+                    end += 1
+                out.append((place(i), end))
+    for m in _hexrun.finditer(x):
+        run, at = m[0], 0
+        for s in _sequence16.finditer(run):
+            i = s.start()
+            if i < at:
+                continue
+            head = run[i : i + 16]
+            size = der_size(bytes.fromhex(head[: len(head) // 2 * 2]))
+            if size is not None and size >= MIN_KEY and i + 2 * size <= len(run) and is_der_key(bytes.fromhex(run[i : i + 2 * size])):
+                at = i + 2 * size
+                out.append((m.start() + i, m.start() + at))
+    return out
 
 
 def ssh_fields(data: bytes | None) -> list[bytes] | None:
@@ -92,11 +167,33 @@ def ssh_fields(data: bytes | None) -> list[bytes] | None:
     return out or None
 
 
+def is_openssh(data: bytes) -> bool:
+    """Cipher, key derivation and its options, a count, so many public keys, and the private part fill data exactly."""
+
+    def field(i: int) -> int | None:
+        end = i + 4 + int.from_bytes(data[i : i + 4], "big")
+        return end if i + 4 <= len(data) and end <= len(data) else None
+
+    i: int | None = 0
+    for _ in range(3):
+        i = field(i)
+        if i is None:
+            return False
+    n = int.from_bytes(data[i : i + 4], "big")
+    if i + 4 > len(data) or not 1 <= n <= len(data):
+        return False
+    i += 4
+    for _ in range(n + 1):
+        i = field(i)
+        if i is None:
+            return False
+    return i == len(data)
+
+
 def is_pem_key(body: str) -> bool:
     data = decode64(body)
     if data and data.startswith(b"openssh-key-v1\x00"):
-        n = data[15:19]
-        return len(n) == 4 and 19 + int.from_bytes(n, "big") <= len(data)
+        return is_openssh(data[15:])
     return is_der_key(data)
 
 
@@ -116,10 +213,9 @@ def find_secrets(x: str) -> list[tuple[str, int, int]]:
     if "AKIA" in x:
         out += [("access", *m.span()) for m in _access.finditer(x) if len(m[0]) >= MIN_ACCESS]
     out += [("hex", *m.span()) for m in _hex.finditer(x)]
-    if "-----BEGIN " in x:
-        out += [("pem", *m.span()) for m in _pem.finditer(x) if is_pem_key(m[2])]
-    out += [("der", *m.span()) for m in _b64.finditer(x) if is_der_key(decode64(m[0]))]
-    out += [("der", *m.span()) for m in _hexder.finditer(x) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
+    armoured = [m.span() for m in _pem.finditer(x) if is_pem_key(m[2])] if "-----BEGIN " in x else []
+    out += [("pem", a, z) for a, z in armoured]
+    out += [("der", a, z) for a, z in find_der(x) if not any(p <= a and z <= q for p, q in armoured)]
     if "AAAA" in x:
         for m in _ssh.finditer(x):
             fields = ssh_fields(decode64(m[1]))
