@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks against license templates.
 
 Blocks are the lines of a document and, for templates of LONG words or more, its
-paragraphs (lines between blank ones). With `wrapped` above 1, shorter templates are also
+paragraphs (lines between those that hold white space at most, as a lone \\r does). With `wrapped` above 1, shorter templates are also
 looked for in up to so many neighbouring lines of a paragraph, and given where no fewer lines hold them.
 A template is found in a block when at least `threshold` of the template's distinct
 words are among the block's. Words are ordered by their count over the whole corpus,
@@ -54,6 +54,9 @@ TEMPLATES = [
 #: words would come together by chance in a long paragraph.
 LONG = 12
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,template:int,start:long,end:long,containment:double>>"
 
 
@@ -141,7 +144,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             own_rank = rank[at[own]]
             matches: list[list[dict]] = [[] for _ in range(n)]
             newline = np.flatnonzero(w.data == 10)
-            blank = newline[np.flatnonzero(np.diff(newline) == 1)] if len(newline) else newline
+            seen = np.cumsum(~_WHITE[w.data])  # a line without any but white space ends a paragraph
+            blank = newline[np.flatnonzero(seen[newline[1:]] == seen[newline[:-1]])] if len(newline) else newline
             for cuts, least in ((newline, 0), (blank, LONG)):  # lines, then paragraphs
                 block = doc[own] + np.searchsorted(cuts, w.start[own])  # ascending, and another one for another document
                 edges = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (doc[own][1:] != doc[own][:-1])]) if len(own) else np.empty(0, np.int64)
