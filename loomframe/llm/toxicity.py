@@ -40,7 +40,7 @@ _NORMAL[T.ALNUM] = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.
 def bags(column: pa.Array):
     """(first document, buckets, counts' boundaries) run by run: each document's distinct n-gram buckets."""
     data, off = T.column_bytes(column)
-    for i, j in T.runs(off, T.RUN_BYTES // 2):
+    for i, j in T.runs(off, T.RUN_BYTES // 4):
         n = j - i
         part = data[off[i] : off[j]]
         at = off[i : j + 1] - off[i] + np.arange(n + 1)  # a separator stands before each document and after the last
