@@ -4,10 +4,16 @@ Rows are dealt by ranges of the order key into buckets, whose bounds come from o
 percentile pass. What a window computes inside a bucket is carried on by one row a bucket:
 counts, sums or last values before it. The table of those is as long as there are buckets,
 so its join is a broadcast of known size, and no task sees more than a bucket.
+
+Rows of equal keys follow their `ties`, further columns of the order. Without them such rows
+stand in any order, so running sums and fills differ among them from run to run.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,16 +23,44 @@ from .frame import need
 #: Rows a bucket should hold at most, about.
 BUCKET_ROWS = 2_000_000
 MAX_BUCKETS = 20_000
+#: Texts a bucket that are drawn to set the bounds of text keys; they steer the buckets, not the results.
+DRAWN = 50
 
 _B = "__bucket"
+#: Columns that the operators add while they work.
+_ADDED = {_B, "__before", "__edge", "__nan", "__own", "__pos", "__home", "__block", "__value", "__times", "__m", "__s"}
+
+
+def _apart(operator):
+    """Columns of the frame, and of the result, that bear the operators' own names are renamed meanwhile."""
+
+    def texts(x):
+        if isinstance(x, str):
+            return [x]
+        return [t for y in x for t in texts(y)] if isinstance(x, (list, tuple)) else []
+
+    def renamed(x, names):
+        if isinstance(x, str):
+            return names.get(x, x)
+        return type(x)(renamed(y, names) for y in x) if isinstance(x, (list, tuple)) else x
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options):
+        names = {c: f"{c}_{uuid.uuid4().hex}" for c in [*df.columns, *texts(args), *texts(list(options.values()))] if c.lower() in _ADDED}
+        if not names:
+            return operator(df, *args, **options)
+        out = operator(df.withColumnsRenamed(names), *renamed(args, names), **{k: renamed(v, names) for k, v in options.items()})
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """A number that does not fall as the key rises; equal keys have equal numbers."""
+    """A number, or a text for texts, that does not fall as the key rises; equal keys have equal ones."""
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return c
     if isinstance(kind, T.TimestampNTZType):
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(kind, T.TimestampType):
@@ -36,16 +70,24 @@ def order_number(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def bucketed(df: DataFrame, by: str, rows: int = BUCKET_ROWS) -> DataFrame:
+def bucketed(df: DataFrame, by: str, rows: int | None = None) -> DataFrame:
     """df with the bucket of each row; nulls are in the first, NaN in the last."""
     need(df, by)
     number = order_number(df, by)
     n = df.count()
-    buckets = min(MAX_BUCKETS, -(-n // rows))
+    buckets = min(MAX_BUCKETS, -(-n // (rows or BUCKET_ROWS)))
     if buckets <= 1:
         return df.withColumn(_B, F.lit(0))
-    bounds = df.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("b")).first().b
-    bounds = sorted(set(bounds or []))
+    if isinstance(df.schema[by].dataType, T.StringType):
+        drawn = df.where(number.isNotNull()).sample(min(1.0, DRAWN * buckets / n), seed=1).select(number.alias("t")).limit(2 * DRAWN * buckets)
+        texts = sorted((r.t for r in drawn.collect()), key=str.encode)
+        bounds = [texts[k * len(texts) // buckets] for k in range(1, buckets)] if texts else []
+        bounds = sorted(set(bounds), key=str.encode)
+    else:
+        bounds = df.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("b")).first().b
+        bounds = sorted(set(bounds or []))
+    if not bounds:
+        return df.withColumn(_B, F.when(number.isNull(), -1).otherwise(0))
     literal = F.array(*map(F.lit, bounds))
     # a search among the sorted bounds by halves, as an expression: ceil(log2) comparisons a row
     at = F.lit(0)
@@ -75,11 +117,12 @@ def _after():
     return Window.orderBy(_B).rowsBetween(1, Window.unboundedFollowing)
 
 
+@_apart
 def with_position(df: DataFrame, by: str, name: str = "_pos", *ties: str) -> DataFrame:
     """Row numbers from 0 in the order of `by` (then ties), without gaps."""
     b = bucketed(df, by)
-    before = _carried(b, {"n": F.count("*")}, {"before": F.coalesce(F.sum("n").over(_before()), F.lit(0))})
-    return b.withColumn(name, F.row_number().over(_window(by, *ties)) - 1).join(F.broadcast(before), _B).withColumn(name, (F.col(name) + F.col("before")).cast("long")).drop(_B, "before")
+    before = _carried(b, {"n": F.count("*")}, {"__before": F.coalesce(F.sum("n").over(_before()), F.lit(0))})
+    return b.withColumn(name, F.row_number().over(_window(by, *ties)) - 1).join(F.broadcast(before), _B).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop(_B, "__before")
 
 
 def row(df: DataFrame, i: int, by: str) -> dict:
@@ -125,6 +168,7 @@ def sort_order(df: DataFrame, name: str, ascending: bool = False, nulls_last: bo
     return [*out, c.asc() if ascending else c.desc()]
 
 
+@_apart
 def sort_position(df: DataFrame, keys: list[tuple], out: str = "_pos", stable_by: str | None = None) -> DataFrame:
     """The place of each row, from 0, when sorted by keys as `sort` takes them."""
     name, ascending, nulls_last = (*keys[0], False)[:3]
@@ -135,72 +179,83 @@ def sort_position(df: DataFrame, keys: list[tuple], out: str = "_pos", stable_by
         place = F.when(F.isnan(c), -MAX_BUCKETS - 1 if ascending else MAX_BUCKETS + 1).otherwise(place)
     b = b.withColumn(_B, F.when(c.isNull(), (1 if nulls_last else -1) * (MAX_BUCKETS + 2)).otherwise(place))
     order = [x for k in keys for x in sort_order(df, *k)] + ([F.asc(stable_by)] if stable_by else [])
-    before = _carried(b, {"n": F.count("*")}, {"before": F.coalesce(F.sum("n").over(_before()), F.lit(0))})
+    before = _carried(b, {"n": F.count("*")}, {"__before": F.coalesce(F.sum("n").over(_before()), F.lit(0))})
     numbered = b.withColumn(out, F.row_number().over(Window.partitionBy(_B).orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(before), _B).withColumn(out, (F.col(out) + F.col("before")).cast("long")).drop(_B, "before")
+    return numbered.join(F.broadcast(before), _B).withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop(_B, "__before")
 
 
 def rank(df: DataFrame, name: str, method: str = "min", out: str | None = None) -> DataFrame:
-    """rank_<name>, ascending, as double; nulls have none. method: min, max, average or dense; NaN ranks lowest."""
+    """rank_<name>, ascending, as double; nulls have none. method: min, max, average or dense; NaN ranks lowest.
+
+    The different values are ranked by what stands before them and joined back, so a value
+    that many rows share is one row until then.
+    """
     if method not in ("min", "max", "average", "dense"):
         raise ValueError(f"no rank method {method}")
-    out = out or f"rank_{name}"
-    c = F.col(name)
+    return _rank(df, name, method, out or f"rank_{name}")
+
+
+@_apart
+def _rank(df: DataFrame, name: str, method: str, out: str) -> DataFrame:
+    need(df, name)
     floats = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-    low = F.coalesce(F.isnan(c), F.lit(False)) if floats else F.lit(False)
-    live = bucketed(df, name).withColumn("__nan", low)
-    live = live.withColumn(_B, F.when(F.col("__nan"), -1).when(c.isNull(), -2).otherwise(F.col(_B)))
-    w = Window.partitionBy(_B).orderBy(F.col("__nan").desc(), c.asc())
-    same = Window.partitionBy(_B, name)
-    sizes = live.groupBy(_B).agg(F.count(name).alias("n"), F.countDistinct(name).alias("d")) if method == "dense" else live.groupBy(_B).agg(F.count(name).alias("n"))
-    col = "d" if method == "dense" else "n"
-    before = sizes.select(_B, F.coalesce(F.sum(col).over(_before()), F.lit(0)).alias("before"))
-    inner = {
-        "min": F.rank().over(w),
-        "dense": F.dense_rank().over(w),
-        "max": F.rank().over(w) + F.count("*").over(same) - 1,
-        "average": F.rank().over(w) + (F.count("*").over(same) - 1) / F.lit(2.0),
-    }[method]
-    ranked = live.withColumn(out, inner).join(F.broadcast(before), _B)
-    return ranked.withColumn(out, F.when(c.isNotNull(), (F.col(out) + F.col("before")).cast("double"))).drop(_B, "before", "__nan")
-
-
-def cumulative_sum(df: DataFrame, name: str, by: str, out: str) -> DataFrame:
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__value")).agg(F.count("*").alias("__times"))
+    live = bucketed(values, "__value")
+    if floats:
+        live = live.withColumn(_B, F.when(F.isnan("__value"), -1).otherwise(F.col(_B)))
+    size = F.lit(1) if method == "dense" else F.col("__times")
+    before = _carried(live, {"n": F.sum(size)}, {"__before": F.coalesce(F.sum("n").over(_before()), F.lit(0))})
+    below = F.coalesce(F.sum(size).over(Window.partitionBy(_B).orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = {"min": F.lit(1), "dense": F.lit(1), "max": F.col("__times"), "average": (F.col("__times") + 1) / F.lit(2.0)}[method]
+    told = live.withColumn("__own", below).join(F.broadcast(before), _B).select("__value", (F.col("__own") + F.col("__before") + place).cast("double").alias("__own"))
+    rest = [c for c in df.columns if c != out]
+    return df.join(told, F.col(name) == F.col("__value"), "left").select(*(F.col(f"`{c}`") for c in rest), F.col("__own").alias(out))
+
+
+@_apart
+def cumulative_sum(df: DataFrame, name: str, by: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The sum up to each row in the order of `by`; nulls add nothing, and null stands before the first value."""
     b = bucketed(df, by)
-    before = _carried(b, {"s": F.sum(name)}, {"before": F.sum("s").over(_before())})
-    own = F.sum(name).over(_window(by).rowsBetween(Window.unboundedPreceding, 0))
-    return b.withColumn(out, own).join(F.broadcast(before), _B).withColumn(out, F.col(out) + F.coalesce("before", F.lit(0))).drop(_B, "before")
+    before = _carried(b, {"s": F.sum(name)}, {"__before": F.sum("s").over(_before())})
+    own = F.sum(name).over(_window(by, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.coalesce(F.col("__own") + F.coalesce("__before", F.lit(0)), F.col("__before"))
+    return b.withColumn("__own", own).join(F.broadcast(before), _B).withColumn(out, total).drop(_B, "__before", "__own")
 
 
-def cumulative_product(df: DataFrame, name: str, by: str, out: str) -> DataFrame:
+@_apart
+def cumulative_product(df: DataFrame, name: str, by: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The product up to each row, as cumulative_sum."""
     b = bucketed(df, by)
-    before = _carried(b, {"s": F.product(name)}, {"before": F.product("s").over(_before())})
-    own = F.product(name).over(_window(by).rowsBetween(Window.unboundedPreceding, 0))
-    return b.withColumn(out, own).join(F.broadcast(before), _B).withColumn(out, F.col(out) * F.coalesce("before", F.lit(1.0))).drop(_B, "before")
+    before = _carried(b, {"s": F.product(name)}, {"__before": F.product("s").over(_before())})
+    own = F.product(name).over(_window(by, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.coalesce(F.col("__own") * F.coalesce("__before", F.lit(1.0)), F.col("__before"))
+    return b.withColumn("__own", own).join(F.broadcast(before), _B).withColumn(out, total).drop(_B, "__before", "__own")
 
 
-def fill_forward(df: DataFrame, name: str, by: str, out: str | None = None) -> DataFrame:
+def fill_forward(df: DataFrame, name: str, by: str, out: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """The last value that is not null up to each row; leading nulls stay."""
-    return _fill(df, name, by, out or name, forward=True)
+    return _fill(df, name, by, out or name, True, ties)
 
 
-def fill_backward(df: DataFrame, name: str, by: str, out: str | None = None) -> DataFrame:
+def fill_backward(df: DataFrame, name: str, by: str, out: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """The next value that is not null from each row; trailing nulls stay."""
-    return _fill(df, name, by, out or name, forward=False)
+    return _fill(df, name, by, out or name, False, ties)
 
 
-def _fill(df: DataFrame, name: str, by: str, out: str, forward: bool) -> DataFrame:
+@_apart
+def _fill(df: DataFrame, name: str, by: str, out: str, forward: bool, ties: tuple[str, ...]) -> DataFrame:
     b = bucketed(df, by)
-    valid = F.when(F.col(name).isNotNull(), F.col(by))
+    valid = F.when(F.col(name).isNotNull(), F.struct(by, *ties))
     if forward:
-        before = _carried(b, {"v": F.max_by(name, valid)}, {"edge": F.last("v", ignorenulls=True).over(_before())})
-        own = F.last(name, ignorenulls=True).over(_window(by).rowsBetween(Window.unboundedPreceding, 0))
+        before = _carried(b, {"v": F.max_by(name, valid)}, {"__edge": F.last("v", ignorenulls=True).over(_before())})
+        own = F.last(name, ignorenulls=True).over(_window(by, *ties).rowsBetween(Window.unboundedPreceding, 0))
     else:
-        before = _carried(b, {"v": F.min_by(name, valid)}, {"edge": F.first("v", ignorenulls=True).over(_after())})
-        own = F.first(name, ignorenulls=True).over(_window(by).rowsBetween(0, Window.unboundedFollowing))
-    return b.withColumn("__own", own).join(F.broadcast(before), _B).withColumn(out, F.coalesce("__own", "edge")).drop(_B, "__own", "edge")
+        before = _carried(b, {"v": F.min_by(name, valid)}, {"__edge": F.first("v", ignorenulls=True).over(_after())})
+        own = F.first(name, ignorenulls=True).over(_window(by, *ties).rowsBetween(0, Window.unboundedFollowing))
+    return b.withColumn("__own", own).join(F.broadcast(before), _B).withColumn(out, F.coalesce("__own", "__edge")).drop(_B, "__own", "__edge")
 
 
+@_apart
 def _rolling(df: DataFrame, name: str, by: str, out: str, width: int, fn, zero: bool) -> DataFrame:
     """A trailing window over positions, in blocks that also hold the rows just before them."""
     block = max(BUCKET_ROWS, 4 * width)
@@ -227,6 +282,7 @@ def rolling_std(df: DataFrame, name: str, by: str, width: int, out: str, min_per
     return _rolling(df, name, by, out, width, F.stddev_samp, not min_periods_null)
 
 
+@_apart
 def z_score(df: DataFrame, name: str, out: str) -> DataFrame:
     """(x - mean) / sample deviation; zeros where that is 0 or unknown. One row is joined to all."""
     one = df.agg(F.avg(name).alias("__m"), F.stddev_samp(name).alias("__s"))

@@ -338,6 +338,11 @@ def _(s, d):
     return ordered.cumulative_sum(load(s, d, "events").select("event_id", "value"), "value", "event_id", "total").select("event_id", r(F.col("total"), 2).alias("total"))
 
 
+@query("q63b_cumsum_nulls", f"SELECT event_id, round(sum(nv) OVER (ORDER BY event_id), 2) AS total FROM {EV}")
+def _(s, d):
+    return ordered.cumulative_sum(events(s, d).select("event_id", "nv"), "nv", "event_id", "total").select("event_id", r(F.col("total"), 2).alias("total"))
+
+
 @query("q64_cumprod", "SELECT event_id, round(product(1 + value / 1e7) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS total FROM events")
 def _(s, d):
     e = load(s, d, "events").select("event_id", (1 + F.col("value") / 1e7).alias("g"))
@@ -528,7 +533,7 @@ def _(s, d):
     key, long = F.col("o_orderkey"), T.LongType()
     return o.select(
         "o_orderkey", casts.cast(-F.col("o_totalprice"), T.DoubleType(), "int64").alias("i"), casts.cast(key, long, "float64").alias("f"), casts.cast(key.cast("string"), T.StringType(), "int64").cast("boolean").alias("_"),
-        (casts.cast(key - 1, long, "bool")).alias("b"), casts.cast(key, long, "string").alias("t"), casts.cast(key.cast("string"), T.StringType(), "int64").alias("back"), F.date_format(F.timestamp_seconds(key), "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        (casts.cast(key - 1, long, "bool")).alias("b"), casts.cast(key, long, "string").alias("t"), casts.cast(key.cast("string"), T.StringType(), "int64").alias("back"), F.date_format(casts.cast(key, long, "time"), "yyyy-MM-dd HH:mm:ss").alias("ts"),
     ).drop("_")
 
 
@@ -541,7 +546,7 @@ def _(s, d):
 @query("q101_json_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(s, d):
     json_source.write_json(load(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path := scratch(s, "json"))
-    return s.read.json(path)
+    return json_source.read_json(s, path)
 
 
 @query("q101b_json_columns", "SELECT n_nationkey, n_name FROM nation")
@@ -574,12 +579,15 @@ _spread("q104_exponential_cdf", D.Exponential(1.5).cdf, "CASE WHEN x < 0 THEN 0
 _spread("q104b_exponential_ppf", lambda x: D.Exponential(1.5).ppf(_p(x)), "-ln(1 - (1 + x / (1 + abs(x))) / 2) / 1.5")
 _spread("q105_binomial_pmf", lambda x: D.Binomial(12, 0.3).pdf(F.pmod(F.floor(x * 10), F.lit(13)).cast("double")), "(SELECT factorial(12) / (factorial(k) * factorial(12 - k)) * pow(0.3, k) * pow(0.7, 12 - k) FROM (SELECT CAST(((floor(x * 10) % 13) + 13) % 13 AS INTEGER) AS k))")
 _spread("q106_poisson_pmf", lambda x: D.Poisson(3.5).pdf(F.pmod(F.floor(x * 10), F.lit(15)).cast("double")), "(SELECT exp(-3.5) * pow(3.5, k) / factorial(k) FROM (SELECT CAST(((floor(x * 10) % 15) + 15) % 15 AS INTEGER) AS k))")
-_spread("q106b_normal_cdf", D.Normal(0.5, 2.0).cdf, None)
+#: Of x, the standard normal probability between 0 and z, by its series; z in DuckDB's SQL.
+_inner = lambda z: f"exp(-({z}) * ({z}) / 2) / 2 * list_sum(list_transform(range(0, 120), lambda k: pow({z}, 2 * k + 1) / exp((k + 0.5) * ln(2) + lgamma(k + 1.5))))"
+_spread("q106b_normal_cdf", D.Normal(0.5, 2.0).cdf, f"0.5 + {_inner('((x - 0.5) / 2)')}")
 _spread("q106c_normal_ppf", lambda x: D.Normal(0.5, 2.0).ppf(_p(x)), None)
-_spread("q106d_t_cdf", D.StudentT(5.0).cdf, None)
-_spread("q106e_chi2_cdf", lambda x: D.ChiSquared(3.0).cdf(F.abs(x)), None)
-_spread("q106f_poisson_cdf", lambda x: D.Poisson(3.5).cdf(F.abs(x) * 5), None)
-_spread("q106g_binomial_cdf", lambda x: D.Binomial(12, 0.3).cdf(F.abs(x) * 5), None)
+_spread("q106d_t_cdf", D.StudentT(5.0).cdf, "0.5 + (atan(x / sqrt(5)) + sin(atan(x / sqrt(5))) * cos(atan(x / sqrt(5))) * (1 + 2 * pow(cos(atan(x / sqrt(5))), 2) / 3)) / pi()")
+_spread("q106e_chi2_cdf", lambda x: D.ChiSquared(3.0).cdf(F.abs(x)), f"2 * {_inner('sqrt(abs(x))')} - sqrt(2 * abs(x) / pi()) * exp(-abs(x) / 2)")
+_spread("q106f_poisson_cdf", lambda x: D.Poisson(3.5).cdf(F.abs(x) * 5), "list_sum(list_transform(range(0, CAST(floor(abs(x) * 5) AS BIGINT) + 1), lambda k: exp(k * ln(3.5) - 3.5 - lgamma(k + 1.0))))")
+_spread("q106g_binomial_cdf", lambda x: D.Binomial(12, 0.3).cdf(F.abs(x) * 5), "list_sum(list_transform(range(0, least(12, CAST(floor(abs(x) * 5) AS BIGINT)) + 1), lambda k: exp(lgamma(13.0) - lgamma(k + 1.0) - lgamma(13.0 - k) + k * ln(0.3) + (12 - k) * ln(0.7))))")
+_spread("q106h_normal_round_trip", lambda x: D.Normal(0.5, 2.0).cdf(D.Normal(0.5, 2.0).ppf(_p(x))), "(1 + x / (1 + abs(x))) / 2")
 
 
 @query("q107_arange", "SELECT i AS i0, round(CAST(2.0 + i * 0.25 AS DOUBLE), 6) AS v FROM range(32) t(i)")
@@ -602,6 +610,15 @@ def _(s, d):
     return A.random(s, 7, 100, 10).combine("add", A.random_normal(s, 8, 0.0, 1.0, 100, 10)).df
 
 
+@query("q109c_random_range", "SELECT CAST(1000 AS BIGINT) AS n, true AS within, true AS again, true AS spread")
+def _(s, d):
+    u, again, z = A.random(s, 7, 100, 10).df, A.random(s, 7, 100, 10).df, A.random_normal(s, 8, 0.0, 1.0, 100, 10).df
+    same = u.join(again.withColumnRenamed("v", "w"), ["i0", "i1"]).where("v = w").agg(F.count("*").alias("same"))
+    told = u.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    wide = z.agg(F.abs(F.avg("v")).alias("m"), F.stddev_samp("v").alias("sd"))
+    return told.crossJoin(same).crossJoin(wide).select("n", ((F.col("low") >= 0) & (F.col("high") < 1)).alias("within"), (F.col("same") == F.col("n")).alias("again"), ((F.col("m") < 0.2) & F.col("sd").between(0.8, 1.2)).alias("spread"))
+
+
 # parallel
 
 
@@ -659,6 +676,42 @@ def _(s, d):
     return _grams(s, d).select("label", linalg.svd(F.col("m"), DIMENSIONS, DIMENSIONS)["s"].alias("s"))
 
 
+#: A flat row-major matrix's row i.
+_row = lambda m, i: F.slice(m, i * DIMENSIONS + 1, F.lit(DIMENSIONS))
+_places = lambda: F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+
+
+def _times(m, x):
+    """The matrix times a vector."""
+    return F.transform(_places(), lambda i: A.dot(_row(m, i), x))
+
+
+@query("q114b_det_of_inverse", "SELECT label, CAST(1 AS DOUBLE) AS product FROM embeddings GROUP BY label")
+def _(s, d):
+    small = _grams(s, d).select("label", F.transform("m", lambda v: v / 100).alias("m"))  # or the determinant leaves the doubles
+    return small.select("label", r(linalg.det(F.col("m")) * linalg.det(linalg.inv(F.col("m"))), 5).alias("product"))
+
+
+@query("q115b_inverse_residual", "SELECT label, CAST(0 AS DOUBLE) AS off FROM embeddings GROUP BY label")
+def _(s, d):
+    both = _grams(s, d).select("label", "m", linalg.inv(F.col("m")).alias("w"))
+    off = F.transform(_places(), lambda i: F.array_max(F.transform(_places(), lambda j: F.abs(A.dot(_row(F.col("m"), i), _row(F.col("w"), j)) - F.when(i == j, 1.0).otherwise(0.0)))))
+    return both.select("label", r(F.array_max(off), 5).alias("off"))  # both are symmetric, so rows serve as columns
+
+
+@query("q116b_solve_residual", "SELECT label, CAST(0 AS DOUBLE) AS off FROM embeddings GROUP BY label")
+def _(s, d):
+    b = F.slice("m", 1, DIMENSIONS)
+    both = _grams(s, d).select("label", "m", linalg.solve(F.col("m"), b).alias("x"))
+    return both.select("label", r(F.array_max(F.zip_with(_times(F.col("m"), F.col("x")), F.slice("m", 1, DIMENSIONS), lambda p, q: F.abs(p - q))), 5).alias("off"))
+
+
+@query("q117b_svd_sums", f"SELECT label, round(sum(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + {DIMENSIONS}, 3) AS trace FROM embeddings GROUP BY label")
+def _(s, d):
+    found = _grams(s, d).select("label", linalg.svd(F.col("m"), DIMENSIONS, DIMENSIONS)["s"].alias("s"))
+    return found.select("label", r(A.total(F.col("s")), 3).alias("trace"))  # singular values of a positive matrix add up to its trace
+
+
 @query("q118_tumbling", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def _(s, d):
     out = event_stream.tumbling(load(s, d, "events"), "ts", "1 day", ["event_type"], "value")

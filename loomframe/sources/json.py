@@ -12,11 +12,18 @@ def _nulls(df: DataFrame, nulls: tuple[str, ...]) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(list(nulls)), F.col(f"`{c}`")) for c in texts}) if nulls else df
 
 
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a whole object, so that the files hold an object a line."""
+    line = F.trim(F.translate("value", "\t\r", "  "))
+    found = spark.read.text(path).select(F.substring(line, 1, 1).alias("begin"), F.get_json_object(line, "$").isNotNull().alias("whole")).where("begin <> ''").first()
+    return found is not None and found.begin == "{" and found.whole
+
+
 def read_json(spark: SparkSession, path: str, orient: str = "records", nulls: tuple[str, ...] = ()) -> DataFrame:
     """records: an array of objects, or an object a line; keys are put together, missing ones null.
     columns: one object of arrays, shorter ones filled with null."""
     if orient == "records":
-        return _nulls(spark.read.option("multiLine", True).option("primitivesAsString", False).json(path), nulls)
+        return _nulls(spark.read.option("multiLine", not _by_lines(spark, path)).option("primitivesAsString", False).json(path), nulls)
     if orient != "columns":
         raise ValueError(f"orient is records or columns, not {orient}")
     return _nulls(_turned(spark.read.option("multiLine", True).json(path)), nulls)

@@ -391,3 +391,52 @@ def test_long_preview(spark):
     x = A.Long(spark.createDataFrame(rows[::-1], "i0 long, i1 long, v long"), (3, 5))
     assert x.preview() == "Long(shape=[3, 5], size=15, data=[0 1 2 3 4 5 6 7 8 9 10 11 ...])"
     assert x.slice(slice(0, 1)).preview() == "Long(shape=[1, 5], size=5, data=[0 1 2 3 4])"
+
+
+@pytest.mark.parametrize("bucket", [2_000_000, 12])
+def test_running_values_carry_over_null_beginnings(spark, bucket, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", bucket)
+    values = [None if 40 <= i < 75 or i < 3 else float(i % 5 + 1) for i in range(120)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").repartition(5)
+    assert (bucket > 100) == (ordered.bucketed(df, "i").select("__bucket").distinct().count() == 1)
+    sums, products, s, p = [], [], None, None
+    for v in values:
+        s, p = (s, p) if v is None else ((s or 0.0) + v, (1.0 if p is None else p) * v)
+        sums.append(s)
+        products.append(p)
+    at = lambda d, c: [r[c] for r in d.orderBy("i").collect()]
+    assert at(ordered.cumulative_sum(df, "x", "i", "s"), "s") == sums
+    assert at(ordered.cumulative_product(df, "x", "i", "s"), "s") == pytest.approx(products)
+
+
+def test_order_follows_ties_and_any_column_names(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 5)
+    data = [(i // 4, i % 4, None if i % 3 else float(i), i) for i in range(40)]
+    df = spark.createDataFrame(data, "before int, edge int, __bucket double, __pos int").repartition(3)
+    got = {r["__pos"]: r for r in ordered.cumulative_sum(df, "__pos", "before", "__own", ties=("edge",)).collect()}
+    assert [got[i]["__own"] for i in range(40)] == [i * (i + 1) // 2 for i in range(40)] and ordered.with_position(df, "before", "n", "edge").columns == [*df.columns, "n"]
+    filled = {r["__pos"]: r["__bucket"] for r in ordered.fill_forward(df, "__bucket", "before", ties=("edge",)).collect()}
+    assert [filled[i] for i in range(40)] == [float(i - i % 3) for i in range(40)]
+    ranked = {r["__pos"]: r["rank_before"] for r in ordered.rank(df, "before").collect()}
+    assert [ranked[i] for i in range(40)] == [i // 4 * 4 + 1.0 for i in range(40)]
+
+
+def test_texts_with_a_common_prefix_fill_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
+    names = [f"Customer#{i:09d}" for i in range(600)]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(4)
+    sizes = [r["count"] for r in ordered.bucketed(df, "name").groupBy("__bucket").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 200
+    assert [r["_pos"] for r in ordered.with_position(df, "name").orderBy("name").collect()] == list(range(600))
+    two = spark.createDataFrame([(i % 2,) for i in range(600)], "v int")
+    assert {(r["v"], r["rank_v"]) for r in ordered.rank(two, "v", "max").collect()} == {(0, 300.0), (1, 600.0)}
+
+
+def test_json_lines_come_back_whole(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "a long, b string")
+    json_source.write_json(df, str(tmp_path / "lines"))
+    assert sorted(map(tuple, json_source.read_json(spark, str(tmp_path / "lines")).collect())) == [(i, f"n{i}") for i in range(10)]
+    (tmp_path / "array.json").write_text('[{"a": 1, "b": "x"},\n {"a": 2}]')
+    assert sorted(map(tuple, json_source.read_json(spark, str(tmp_path / "array.json")).collect())) == [(1, "x"), (2, None)]
+    (tmp_path / "one.json").write_text('\n{\n "a": 1,\n "b": "x"\n}')
+    assert json_source.read_json(spark, str(tmp_path / "one.json")).collect() == [(1, "x")]
