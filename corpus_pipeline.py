@@ -1,4 +1,10 @@
-"""A corpus from documents to token ids: STAGES, each written as Parquet and read again by the next."""
+"""A corpus from documents to token ids: STAGES, each written as Parquet and read again by the next.
+
+Defined results, in every stage: null texts count as empty and stay; rows without doc_id stay unless
+their own text is toxic or holds a benchmark window, as they are nobody's copy; rows that repeat a doc_id are
+one document for line dedup and near-dedup, so they stay or go together; columns besides doc_id and text are
+handed on, whatever their names; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
