@@ -157,3 +157,44 @@ def test_line_texts_and_columns(spark):
         assert got[i].text == want and got[i].n_removed == (0 if i is None else sum(a == i for a, _ in gone))
     assert got[18].text == "" and got[1].text is None and got[7].node == 1
     assert lines.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_extreme_finite_vectors_link(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 0.0]), (4, [2e200, 0.0]), (5, [0.0, 1e200]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_tiles_join_what_hubs_do_not(spark, monkeypatch):
+    """Many near copies of each other, dealt over several blocks, against all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for k in r.sample(range(120), r.randint(0, 12)):
+            words[k] = f"v{r.randint(0, 10_000)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = reach(sets, links)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: want[i] for i in sets} and len(set(got.values())) > 3
+
+
+def test_counts_take_the_place_of_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f\na b c d e f", 9)], "doc_id long, text string, n_lines long")
+    out = lines.dedup_lines(df, counts=True)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed"] and out.collect() == [(1, "a b c d e f", 2, 1)]
+
+
+def test_lines_in_long_lists_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LIST", 3)
+    monkeypatch.setattr(lines, "_CROWDED", 1)
+    r = random.Random(8)
+    rows = [(i, "\n".join(" ".join(r.choice("abcdefghijklmn") + str(k) for k in range(r.choice([5, 6, 10]))) for _ in range(5))) for i in range(40)]
+    rows += [(100 + i, " ".join([f"c{k}" for k in range(20)] + [f"only{i}"])) for i in range(30)]
+    got = {(x.doc_id, x.place) for x in lines.removed_lines(frame(spark, rows, extra=False), percent=60).collect()}
+    assert got == plain_lines(rows, 60)

@@ -219,3 +219,34 @@ def test_decontamination_of_empty_tables(spark):
 
 def test_crc_of_token_query_is_unsigned():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) >= 0
+
+
+def test_keys_are_found_at_any_place_of_a_run():
+    body = b"\x02\x01\x00" + b"\x02\x20" + bytes(range(32)) + b"\x30\x03\x02\x01\x05"
+    der = b"\x30" + bytes([len(body)]) + body
+    b64 = base64.b64encode(der).decode()
+    found = lambda x: [x[a:z] for a, z in secrets.find_der(x)]
+    assert found(b64) == found("MAab" + b64) == found(f"x {b64} y") == [b64]
+    assert found(b64.rstrip("=") + "abcd") == [b64.rstrip("=")]
+    assert found(f"key:\n{b64[:32]}\n{b64[32:]}\nnext") == [f"{b64[:32]}\n{b64[32:]}"]
+    assert found(der.hex() + "ab") == found("f" + der.hex()) == [der.hex()]
+    assert found("M" * 60) == found("30" * 60) == found(b64[:-8]) == []
+    deep = b"\x30\x03\x02\x09\x05"  # the inner integer says more bytes than there are
+    bad = b"\x30" + bytes([len(body) + 2]) + body[:-5] + b"\x30\x05" + deep
+    assert found(base64.b64encode(bad).decode()) == []
+
+
+def test_openssh_keys_are_parsed_whole():
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    key = field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 20) + field(b"s" * 40)
+    armour = lambda k: f"-----BEGIN OPENSSH PRIVATE KEY-----\n{base64.b64encode(b'openssh-key-v1' + bytes(1) + k).decode()}\n-----END OPENSSH PRIVATE KEY-----"
+    kinds = lambda x: {k for k, _, _ in secrets.find_secrets(x)}
+    assert "pem" in kinds(armour(key)) and "pem" not in kinds(armour(key[:-1])) | kinds(armour(key + b"x"))
+
+
+def test_blank_lines_of_white_space_end_paragraphs(spark):
+    notice = "Permission to use, copy, modify, and/or distribute this software for any purpose"
+    rest = "with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+    texts = [f"{notice}\n{rest}", f"{notice}\r\n{rest}", f"{notice}\n \t\n{rest}", f"{notice}\r\n\r\n{rest}"]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(4)] == ["isc", "isc", "", ""]
