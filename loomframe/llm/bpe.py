@@ -34,7 +34,7 @@ from .common import arrow_schema, map_batches, table
 #: Fixed value: the byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts that a worker remembers, in each of two memories; the second holds few in practice.
-MEMORY = 200_000
+MEMORY = 120_000
 
 
 def byte_symbols() -> dict[int, str]:

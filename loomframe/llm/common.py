@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import ship
 
 #: Rows of an Arrow batch that goes to Python, and its bytes where Spark knows that setting.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
 
 
