@@ -200,14 +200,15 @@ def _pack_grams(columns: list[np.ndarray], c: np.ndarray) -> bytes:
     words, place = np.unique(np.concatenate(columns), return_inverse=True)
     planes = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
     steps = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return struct.pack("<q", len(words)) + _pack(c) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps).tobytes() + np.ascontiguousarray(planes).tobytes())
+    told = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return struct.pack("<qq", len(words), len(c)) + told + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps).tobytes() + np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack_grams(block: bytes, order: int) -> list[np.ndarray]:
     (n_words,) = struct.unpack_from("<q", block)
     (n,) = struct.unpack_from("<q", block, 8)
     counts = zstandard.ZstdDecompressor().decompressobj()
-    c = np.frombuffer(counts.decompress(block[16:]), np.int64, n)
+    c = np.ascontiguousarray(np.frombuffer(counts.decompress(block[16:]), np.uint8, 8 * n).reshape(8, -1).T).view(np.int64).ravel()
     raw = zstandard.ZstdDecompressor().decompress(counts.unused_data)
     steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n_words).reshape(8, -1).T).view(np.uint64).ravel()
     words = np.cumsum(steps, dtype=np.uint64)
