@@ -115,13 +115,35 @@ def _summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np
     return k[edge], order[edge], [np.add.reduceat(c[order], edge) if len(edge) else c for c in columns]
 
 
-def _split(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((*columns[1::-1], part)) if len(columns) > 1 else np.lexsort((columns[0], part))
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest byte of each number, then the next of each, and so on: mostly zeros, which compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(raw: bytes, kind, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
+
+
+def _pack_words(words: np.ndarray, *sums: np.ndarray) -> bytes:
+    """Ascending words as steps, and their sums."""
+    raw = b"".join(_planes(x) for x in (np.diff(words, prepend=np.uint64(0)), *sums))
+    return struct.pack("<q", len(words)) + zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpack_words(block: bytes) -> list[np.ndarray]:
+    (n,), raw = struct.unpack_from("<q", block), zstandard.ZstdDecompressor().decompress(block[8:])
+    steps, *sums = (_unplaned(raw, k, n, 8 * n * i) for i, k in enumerate(SENT_KINDS))
+    return [np.cumsum(steps, dtype=np.uint64), *sums]
+
+
+def _split(part: np.ndarray, parts: int, words: np.ndarray, *sums: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.lexsort((words, part))
     edge = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
         if edge[p] < edge[p + 1]:
             some = order[edge[p] : edge[p + 1]]
-            yield p, _pack(*(c[some] for c in columns))
+            yield p, _pack_words(words[some], *(x[some] for x in sums))
 
 
 def _write(path: str, *columns: np.ndarray) -> None:
@@ -198,21 +220,18 @@ class _Table:
 def _pack_grams(columns: list[np.ndarray], c: np.ndarray) -> bytes:
     """Grams as places in the block's own list of words, byte by byte, so that they take little of a shuffle."""
     words, place = np.unique(np.concatenate(columns), return_inverse=True)
-    planes = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    steps = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    told = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
-    return struct.pack("<qq", len(words), len(c)) + told + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps).tobytes() + np.ascontiguousarray(planes).tobytes())
+    told = zstandard.ZstdCompressor(level=3).compress(_planes(c.astype(np.int64)))
+    return struct.pack("<qq", len(words), len(c)) + told + zstandard.ZstdCompressor(level=3).compress(_planes(np.diff(words, prepend=np.uint64(0))) + _planes(place.astype(np.uint32)))
 
 
 def _unpack_grams(block: bytes, order: int) -> list[np.ndarray]:
     (n_words,) = struct.unpack_from("<q", block)
     (n,) = struct.unpack_from("<q", block, 8)
     counts = zstandard.ZstdDecompressor().decompressobj()
-    c = np.ascontiguousarray(np.frombuffer(counts.decompress(block[16:]), np.uint8, 8 * n).reshape(8, -1).T).view(np.int64).ravel()
+    c = _unplaned(counts.decompress(block[16:]), np.int64, n)
     raw = zstandard.ZstdDecompressor().decompress(counts.unused_data)
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n_words).reshape(8, -1).T).view(np.uint64).ravel()
-    words = np.cumsum(steps, dtype=np.uint64)
-    place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * order * n, 8 * n_words).reshape(4, -1).T).view(np.uint32).ravel()
+    words = np.cumsum(_unplaned(raw, np.uint64, n_words), dtype=np.uint64)
+    place = _unplaned(raw, np.uint32, order * n, 8 * n_words)
     return [*words[place].reshape(order, n), c]
 
 
@@ -343,7 +362,7 @@ def _merge_words(blocks: DataFrame, folder: str) -> DataFrame:
                     total |= {k: total.get(k, 0) + n for k, n in one.items()}
                 yield T.batches_of([[part], [json.dumps(total)]], schema.names, schema)
                 continue
-            words, *sums = _joined([_unpack(b, SENT_KINDS) for b in some])
+            words, *sums = _joined([_unpack_words(b) for b in some])
             words, _, sums = _summed(words, sums)
             big = np.any([x >= 255 for x in sums], axis=0)
             _write(f"{folder}/words-{part:06d}", words, *(np.where(big, 255, x).astype(np.uint8) for x in sums))
