@@ -107,9 +107,20 @@ def _word_part(w: np.ndarray, parts: int) -> np.ndarray:
     return (T.mix(w) % np.uint64(parts)).astype(np.int64)
 
 
+def _by_part(part: np.ndarray, parts: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by partition, keys about ascending in each, and where partitions begin: one sort of one number."""
+    bits = np.uint64(parts.bit_length())
+    order = np.argsort((part.astype(np.uint64) << (np.uint64(64) - bits)) | (key >> bits))
+    return order, _edges(part, parts)
+
+
+def _edges(part: np.ndarray, parts: int) -> np.ndarray:
+    return np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+
+
 def _summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct keys, where each first stands, sums of the columns)."""
-    order = np.argsort(keys, kind="stable")
+    """(distinct keys, a place of each, sums of the columns)."""
+    order = np.argsort(keys)
     k = keys[order]
     edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
     return k[edge], order[edge], [np.add.reduceat(c[order], edge) if len(edge) else c for c in columns]
@@ -160,7 +171,7 @@ def _mapped(path: str, kinds) -> list[np.ndarray]:
         (n,) = struct.unpack("<q", f.read(8))
     at, out = 8, []
     for k in kinds:
-        out.append(np.memmap(path, k, "r", at, (n,)) if n else np.empty(0, k))
+        out.append(np.asarray(np.memmap(path, k, "r", at, (n,))) if n else np.empty(0, k))
         at += n * np.dtype(k).itemsize
     return out
 
@@ -193,7 +204,7 @@ class _Table:
     def __init__(self, path: str, kinds):
         with open(path, "rb") as f:
             self.n, self.bits = struct.unpack("<qq", f.read(16))
-        raw, at, out = np.memmap(path, np.uint8, "r") if self.n else np.empty(0, np.uint8), 16, []
+        raw, at, out = np.asarray(np.memmap(path, np.uint8, "r")) if self.n else np.empty(0, np.uint8), 16, []
         for kind, n in ((np.uint32, (1 << self.bits) + 1), (np.uint32, self.n), *((k, self.n) for k in kinds)):
             size = n * np.dtype(kind).itemsize
             out.append(raw[at : at + size].view(kind) if self.n else np.empty(0, kind))
@@ -206,12 +217,11 @@ class _Table:
             return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
         top = (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
         low, want = self.low, (key << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
-        at, end = self.begin[top].astype(np.int64), self.begin[top + 1].astype(np.int64)
-        stop = end.copy()
-        for _ in range(int((end - at).max(initial=0)).bit_length()):
-            middle = (at + end) >> 1
-            less = (at < end) & (low[np.minimum(middle, self.n - 1)] < want)
-            at, end = np.where(less, middle + 1, at), np.where(less, end, middle)
+        at, stop = self.begin[top].astype(np.int64), self.begin[top + 1].astype(np.int64)
+        size = stop - at
+        for k in range(int(size.max(initial=0)).bit_length() - 1, -1, -1):  # steps of falling powers of two, while the last passed is below
+            step = at + (1 << k)
+            at = np.where((step <= stop) & (low[np.minimum(step, self.n) - 1] < want), step, at)
         hit = at < stop
         at = np.minimum(at, self.n - 1)
         return at, hit & (low[at] == want)
@@ -254,8 +264,8 @@ def _count_grams(texts: DataFrame, parts: int, order: int) -> DataFrame:
         _, first, (c,) = _summed(_gram_key(columns), [np.ones(len(columns[0]), np.int64)])
         columns = [x[first] for x in columns]
         part = _pair_part(*columns[-2:], parts)
-        by = np.lexsort((*columns[::-1], part)) if order == 2 else np.lexsort((columns[2], columns[1], part))
-        edge = np.searchsorted(part[by], np.arange(parts + 1))
+        v, w = (x >> np.uint64(32) for x in columns[-2:])
+        by, edge = _by_part(part, parts, v << np.uint64(32) | w)  # equal contexts together, which compress well
         for p in range(parts):
             some = by[edge[p] : edge[p + 1]]
             if len(some):
@@ -415,8 +425,7 @@ class Model:
         """The columns of each key, 0 where there is none."""
         whole = kind.startswith("word")
         out = [np.zeros(len(key), np.int64) for _ in (kinds[1:] if whole else kinds)]
-        order = np.lexsort((key, part))
-        edge = np.searchsorted(part[order], np.arange(self.parts + 1))
+        order, edge = _by_part(part, self.parts, key)
         for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
             some = order[edge[p] : edge[p + 1]]
             table = self._file(f"{kind}-{p:06d}", kinds)
@@ -461,13 +470,14 @@ class Model:
         """Tokens, N1, N2 and N3+ after each u v, added up over the partitions that v is spread over."""
         key, first, inverse = np.unique(_pair_key(u, v), return_index=True, return_inverse=True)
         v = v[first]
-        out, done = [np.zeros(len(key), np.int64) for _ in SUMS_KINDS], []
+        out, done = np.zeros((len(key), len(SUMS_KINDS)), np.int64), []
         for salt in range(SALTS):
             part = _pair_part(v, np.full(len(v), salt << 20, np.uint64), self.parts)
             fresh = np.flatnonzero(np.all([part != x for x in done], axis=0)) if done else np.arange(len(part))  # two salts can share a partition
             done.append(part)
-            order = fresh[np.argsort(part[fresh], kind="stable")]  # keys ascend within each partition
-            edge = np.searchsorted(part[order], np.arange(self.parts + 1))
+            own = part[fresh].astype(np.uint16 if self.parts <= 1 << 16 else np.int64)  # 16 bits are sorted by counting
+            order = fresh[np.argsort(own, kind="stable")]  # keys ascend within each partition
+            edge = _edges(part[fresh], self.parts)
             for p in range(self.parts):
                 some = order[edge[p] : edge[p + 1]]
                 if not len(some):
@@ -478,13 +488,11 @@ class Model:
                 at, hit = table.search(key[some])
                 some, code = some[hit], table.columns[0][at[hit]]
                 common = code < 255
-                for o, x in zip(out, self._file(f"sums-{p:06d}", SUMS_KINDS), strict=True):
-                    o[some[common]] += x[code[common]]
+                out[some[common]] += np.stack(self._file(f"sums-{p:06d}", SUMS_KINDS), axis=1)[code[common]]
                 rare = some[~common]
                 if len(rare):
-                    for o, x in zip(out, self._find("contextover", CONTEXT_OVER_KINDS, np.full(len(rare), p), key[rare]), strict=True):
-                        o[rare] += x
-        return [o[inverse] for o in out]
+                    out[rare] += np.stack(self._find("contextover", CONTEXT_OVER_KINDS, np.full(len(rare), p), key[rare]), axis=1)
+        return list(out[inverse].T)
 
     def log10(self, *gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 P(w | v) or P(w | u v), log10 of the base estimate, count) of each token."""
