@@ -26,10 +26,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import text as T
-from .common import arrow_schema, map_batches, table
+from .common import arrow_schema, id_and_text, map_batches, table
 
 #: Fixed value: the byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,9 +170,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its ids, an array of int."""
-    schema = arrow_schema(ddl := "doc_id long, ids array<int>")
+ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"
+
+
+def _digested(with_ids: bool) -> str:
+    return "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+
+
+def _encoder(path: str):
+    schema = arrow_schema(ENCODED)
 
     def run(batch):
         bpe = loaded(path)
@@ -182,24 +187,22 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
         return pa.RecordBatch.from_arrays([batch.column(0), ids.cast(schema.field("ids").type)], schema=schema)
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, ddl)
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the text they stand for; null ids are none."""
-    schema = arrow_schema(ddl := "doc_id long, ids array<int>, text string")
+def _decoder(path: str):
+    schema = arrow_schema(DECODED)
 
     def run(batch):
         bpe = loaded(path)
         texts = [bpe.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(1)]
         return T.batches_of([batch.column(0), batch.column(1), texts], schema.names, schema)
 
-    return map_batches(encoded.select("doc_id", "ids"), run, ddl)
+    return run
 
 
-def digests(decoded: DataFrame, *, with_ids: bool = False) -> DataFrame:
-    """Count and hashes of ids and text, and the ids where asked for."""
-    schema = arrow_schema(ddl := "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+def _digester(with_ids: bool):
+    schema = arrow_schema(_digested(with_ids))
 
     def run(batch):
         ids, texts = batch.column(1), batch.column(2)
@@ -209,12 +212,38 @@ def digests(decoded: DataFrame, *, with_ids: bool = False) -> DataFrame:
         spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
         return T.batches_of([batch.column(0), np.diff(off), [one(a, z) for a, z in spans], [hashlib.sha256(x.as_py().encode()).hexdigest() for x in texts], *[ids] * with_ids], schema.names, schema)
 
-    return map_batches(decoded, run, ddl)
+    return run
+
+
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and its ids, an array of int."""
+    return map_batches(id_and_text(docs, id_col, text_col), _encoder(path), ENCODED)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and the text they stand for; null ids are none."""
+    return map_batches(encoded.select("doc_id", "ids"), _decoder(path), DECODED)
+
+
+def digests(decoded: DataFrame, *, with_ids: bool = False) -> DataFrame:
+    """Count and hashes of ids and text, and the ids where asked for."""
+    return map_batches(decoded, _digester(with_ids), _digested(with_ids))
+
+
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """digests(decode(encode(docs))) by one worker a task, which holds the vocabulary once."""
+    steps = _encoder(path), _decoder(path), _digester(with_ids)
+
+    def run(batch):
+        for step in steps:
+            batch = step(batch)
+        return batch
+
+    return map_batches(id_and_text(docs, id_col, text_col), run, _digested(with_ids))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_path()
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    return round_trip(table(spark, sf_dir, "documents"), default_path())
 
 
 QUERIES = {"op2_bpe": op2_bpe}

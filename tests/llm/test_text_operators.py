@@ -50,6 +50,15 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(frame(spark, []), path).count() == 0
 
 
+def test_bpe_in_one_worker_equals_its_steps(spark):
+    path = bpe.default_path()
+    steps = bpe.digests(bpe.decode(bpe.encode(frame(spark), path), path), with_ids=True)
+    once = bpe.round_trip(frame(spark), path, with_ids=True)
+    assert once.schema == steps.schema
+    assert sorted(once.collect(), key=str) == sorted(steps.collect(), key=str)
+    assert bpe.round_trip(frame(spark, []), path).count() == 0
+
+
 def test_bpe_memory_loses_its_older_half(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 10)
     own = bpe.Bpe(bpe.default_path())
