@@ -45,8 +45,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the text they decode to, and the ids."""
-    path = bpe.default_path()
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path), with_ids=True)
+    return bpe.round_trip(docs, bpe.default_path(), with_ids=True)
 
 
 STAGES = [
