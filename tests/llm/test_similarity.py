@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 
 from loomframe.llm import embeddings, lines, minhash
+from loomframe.llm.common import shared_dir
 from loomframe.llm.components import components
 
 from .helpers import corpus, frame, prose, spaced
@@ -198,3 +200,29 @@ def test_lines_in_long_lists_equal_brute_force(spark, monkeypatch):
     rows += [(100 + i, " ".join([f"c{k}" for k in range(20)] + [f"only{i}"])) for i in range(30)]
     got = {(x.doc_id, x.place) for x in lines.removed_lines(frame(spark, rows, extra=False), percent=60).collect()}
     assert got == plain_lines(rows, 60)
+
+
+def left_behind(spark):
+    """Files of tables in the shared folder."""
+    root = shared_dir(spark).removeprefix("file://")
+    return {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.startswith("part-")}
+
+
+def test_line_dedup_leaves_only_its_result(spark):
+    before = left_behind(spark)
+    out = lines.removed_lines(frame(spark, corpus()[:9], extra=False))
+    assert left_behind(spark) - before == {f for f in left_behind(spark) if out.held_at.removeprefix("file:") in f}
+
+
+def test_any_order_of_words_gives_the_same_lines(spark, monkeypatch):
+    """Late words meet late words in no list; long lines are told apart by wide parities."""
+    monkeypatch.setattr(lines, "SAMPLE", 1 << 40)
+    r = random.Random(3)
+    rows = []
+    for i in range(40):
+        words = [f"w{k}" for k in range(r.choice([5, 9, 45, 300]))]
+        for k in r.sample(range(len(words)), r.randint(0, len(words) // 7)):
+            words[k] = f"v{r.randint(0, 10_000)}"
+        rows.append((i, " ".join(r.sample(words, len(words)))))
+    got = {(x.doc_id, x.place) for x in lines.removed_lines(frame(spark, rows, extra=False)).collect()}
+    assert got == plain_lines(rows) and 0 < len(got) < 40
