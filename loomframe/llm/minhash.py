@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import arrow_schema, id_and_text, map_batches, stored, table
+from .common import arrow_schema, dropped, id_and_text, map_batches, stored, table
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -202,7 +202,9 @@ def _tiles(shared: DataFrame, members: DataFrame, width: int, percent: int, rows
         return T.batches_of([[u for u, _ in links], [v for _, v in links]], schema.names, schema)
 
     tiles = pairs.join(packed, "block").select("other", "a").join(packed.select(F.col("block").alias("other"), F.col("a").alias("b")), "other")
-    return map_batches(packed.select("a"), own, "u long, v long").unionByName(map_batches(tiles.select("a", "b"), cross, "u long, v long"))
+    out = stored(map_batches(packed.select("a"), own, "u long, v long").unionByName(map_batches(tiles.select("a", "b"), cross, "u long, v long")))
+    dropped(sized, dealt, packed)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -218,16 +220,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     able = opened.where((F.col("node") != F.col("u")) & (100 * F.least("size", "u_size") >= percent * F.greatest("size", "u_size"))).select("u", F.col("node").alias("v")).distinct()
     star = stored(_confirmed(able, texts, width, percent))
-    roots = stored(components(star))
+    roots = components(star)
 
     rooted = opened.join(roots.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = stored(rooted.join(apart, "bucket").select("bucket", "node", "u", "root"))
     parts = components(rest.select(F.col("node").alias("u"), F.col("u").alias("v")).distinct())
     members = rest.select("node", "root").distinct().join(parts.select("node", F.col("component").alias("part")), "node").join(classes.select("node", "sketch"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    edges = star.unionByName(stored(_tiles(rest.select("bucket", "node"), members, width, percent, rows)))
+    tiled = _tiles(rest.select("bucket", "node"), members, width, percent, rows)
+    found = components(star.unionByName(tiled))
+    dropped(opened, chosen, texts, star, roots, rest, parts, tiled)
 
-    out = signed.join(classes.select("set_key", "node"), "set_key", "left").join(components(edges), "node", "left")
+    out = signed.join(classes.select("set_key", "node"), "set_key", "left").join(found, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

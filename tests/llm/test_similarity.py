@@ -226,3 +226,11 @@ def test_any_order_of_words_gives_the_same_lines(spark, monkeypatch):
         rows.append((i, " ".join(r.sample(words, len(words)))))
     got = {(x.doc_id, x.place) for x in lines.removed_lines(frame(spark, rows, extra=False)).collect()}
     assert got == plain_lines(rows) and 0 < len(got) < 40
+
+
+def test_near_dedup_leaves_no_texts(spark):
+    """Only what the result reads stays: signatures, classes and components, no tables of texts or rounds."""
+    before = left_behind(spark)
+    out = minhash.near_duplicates(frame(spark, corpus()))
+    folders = {os.path.dirname(f) for f in left_behind(spark) - before}
+    assert len(folders) == 3 and out.count() == len(corpus())
