@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -33,7 +35,7 @@ from .common import arrow_schema, id_and_text, map_batches, table
 #: Fixed value: the byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts that a worker remembers, in each of two memories; the second holds few in practice.
-MEMORY = 120_000
+MEMORY = 300_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -59,6 +61,7 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank_of.setdefault(vocab[a] << 20 | vocab[b], rank)
             self.made.append(vocab[a + b])
+        self.first = [self.rank_of.get(a << 20 | b, -1) for a in self.byte_id for b in self.byte_id]  # ranks of pairs of bytes
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -70,21 +73,22 @@ class Bpe:
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece."""
-        ids = [self.byte_id[b] for b in data]
-        n = len(ids)
+        byte_id, n = self.byte_id, len(data)
+        ids = [byte_id[b] for b in data]
         if n < 2:
             return ids
-        rank_of, made = self.rank_of.get, self.made
+        rank_of, made, first = self.rank_of.get, self.made, self.first
         shift = n.bit_length()
         mask = (1 << shift) - 1
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        best = [rank_of(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # noqa: B905  rank of each symbol with the next
+        best = [first[a << 8 | b] for a, b in zip(data, data[1:])]  # noqa: B905  rank of each symbol with the next
         best.append(-1)
         heap = [r << shift | i for i, r in enumerate(best) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            x = heapq.heappop(heap)
-            i, r = x & mask, x >> shift
+            x = heappop(heap)
+            i = x & mask
+            r = x >> shift
             if best[i] != r:
                 continue  # stale
             j = after[i]
@@ -95,14 +99,14 @@ class Bpe:
                 before[k] = i
                 best[i] = r = rank_of(new << 20 | ids[k], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << shift | i)
+                    heappush(heap, r << shift | i)
             else:
                 best[i] = -1
             h = before[i]
             if h >= 0:
                 best[h] = r = rank_of(ids[h] << 20 | new, -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << shift | h)
+                    heappush(heap, r << shift | h)
         return [x for x in ids if x >= 0]
 
     @staticmethod
@@ -120,7 +124,7 @@ class Bpe:
             known, key = (self._spaced, piece[1:]) if piece[0] == " " else (self._other, piece)
             got = known.get(key)
             if got is None:
-                got = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), np.int32).tobytes()
+                got = array("i", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
                 self._remember(known, key, got)
             out.append(got)
         return b"".join(out)
@@ -135,9 +139,14 @@ class Bpe:
         if None in out:
             for i, got in enumerate(out):
                 if got is None:
-                    out[i] = got = self._pieces(" " + words[i])
-                    if words[i] not in known:
-                        self._remember(known, words[i], got)
+                    word = words[i]
+                    if word.isascii() and word.isalpha():  # one piece
+                        got = known.get(word)
+                        out[i] = got = array("i", self.merge(b" " + word.encode())).tobytes() if got is None else got
+                    else:
+                        out[i] = got = self._pieces(" " + word)
+                    if word not in known:
+                        self._remember(known, word, got)
         return b"".join(out)
 
     def encode(self, x: str) -> np.ndarray:
@@ -151,7 +160,11 @@ class Bpe:
 
     def decode(self, ids) -> str:
         of = self.bytes_of
-        return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            data = b"".join(map(of.__getitem__, ids))
+        except KeyError:  # an id of no symbol
+            data = b"".join([of.get(i, b"") for i in ids])
+        return data.decode("utf-8", "replace")
 
 
 _loaded: dict[str, Bpe] = {}
@@ -201,13 +214,22 @@ def _decoder(path: str):
     return run
 
 
+_said: list[bytes] = []
+
+
+def _numbers(n: int) -> list[bytes]:
+    """The numbers below n at least as text, a comma after each; a worker writes them once."""
+    _said.extend(b"%d," % i for i in range(len(_said), n))
+    return _said
+
+
 def _digester(with_ids: bool):
     schema = arrow_schema(_digested(with_ids))
 
     def run(batch):
         ids, texts = batch.column(1), batch.column(2)
         off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        said = [b"%d," % i for i in range(int(flat.max()) + 1)] if len(flat) else []
+        said = _numbers(int(flat.max()) + 1 if len(flat) else 0)
         one = lambda a, z: hashlib.sha256(b"".join(map(said.__getitem__, flat[a:z].tolist()))[:-1]).hexdigest()
         spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
         return T.batches_of([batch.column(0), np.diff(off), [one(a, z) for a, z in spans], [hashlib.sha256(x.as_py().encode()).hexdigest() for x in texts], *[ids] * with_ids], schema.names, schema)

@@ -259,3 +259,12 @@ def test_blank_lines_of_white_space_end_paragraphs(spark):
     texts = [f"{notice}\n{rest}", f"{notice}\r\n{rest}", f"{notice}\n \t\n{rest}", f"{notice}\r\n\r\n{rest}"]
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(4)] == ["isc", "isc", "", ""]
+
+
+def test_bpe_decodes_ids_of_no_symbol_and_words_after_spaces():
+    model = bpe.loaded(bpe.default_path())
+    fresh = bpe.Bpe(bpe.default_path())
+    text = "plain words, words plain é word's 12words words"
+    want = b"".join(fresh._pieces(p if i == 0 else " " + p) for i, p in enumerate(text.split(" ")))
+    assert model.encode(text).tobytes() == want and model.decode([*model.encode(text).tolist(), 10**6]) == text
+    assert all(model.first[a << 8 | b] == model.rank_of.get(model.byte_id[a] << 20 | model.byte_id[b], -1) for a in (32, 101, 255) for b in (0, 97, 255))
