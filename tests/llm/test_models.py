@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +138,21 @@ def test_counts_over_the_byte_are_kept(spark):
     model = language_model.train(frame(spark, [(1, "a " * 700)]).select("text"), common.shared_path(spark, "model"))
     a = language_model.T.hash_words(["a"], language_model.T.SPACED)
     assert model.pairs(a, a).tolist() == [699]
+
+
+def test_partitions_of_the_model_are_joined_in_little_memory(spark, monkeypatch, tmp_path):
+    lm = language_model
+    taken = []
+    monkeypatch.setattr(lm, "map_batches", lambda df, fn, schema: taken.append(fn) or df)
+    lm._merge_grams(spark.createDataFrame([], lm.BLOCKS), str(tmp_path), 8, 3)
+    r, n = np.random.default_rng(1), 50_000
+    blocks = [lm._pack_grams([r.integers(1, 1 << 12, n).astype(np.uint64) << np.uint64(40) for _ in range(3)], np.ones(n, np.int64)) for _ in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([blocks], pa.list_(pa.binary()))], ["part", "blocks"])
+    del blocks
+    tracemalloc.start()
+    try:
+        for _ in taken[0](batch):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 160 * 8 * n  # a gram takes 32 bytes
+    finally:
+        tracemalloc.stop()
