@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import arrow_schema, bounded, id_and_text, map_batches, table
+from .common import arrow_schema, bounded, id_and_text, map_batches, release, table
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5, 6)
 MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 1500, 3000, 48 << 20
@@ -152,7 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIVE,
             texts.append(r.text)
             ys.append(r.toxic)
             size += r.bytes or 0
-    return train(texts, ys)
+        r = None
+    model = train(texts, ys)
+    del texts
+    release()  # the driver works on, and has little memory
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

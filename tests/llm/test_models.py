@@ -58,6 +58,15 @@ def test_toxicity_without_both_labels(spark, labels, want):
     assert {round(r.score, 6) for r in toxicity.score(frame(spark), model).collect()} == {want}
 
 
+def test_toxicity_gives_the_driver_s_memory_back(spark, monkeypatch):
+    done, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *x: (train(*x), done.append("train"))[0])
+    monkeypatch.setattr(toxicity, "release", lambda: done.append("release"))
+    labels = spark.createDataFrame([(7, 1), (8, 0), (10, 1), (11, 0)], "doc_id long, toxic int")
+    toxicity.fit(frame(spark), labels)
+    assert done == ["train", "release"]
+
+
 def test_language_model_equals_its_formulas(spark):
     docs = [(100 + i, prose(i % 7 + 20, 40)) for i in range(40)] + corpus()[:6]
     train = docs[:30]
