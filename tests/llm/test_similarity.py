@@ -234,3 +234,13 @@ def test_near_dedup_leaves_no_texts(spark):
     out = minhash.near_duplicates(frame(spark, corpus()))
     folders = {os.path.dirname(f) for f in left_behind(spark) - before}
     assert len(folders) == 3 and out.count() == len(corpus())
+
+
+def test_no_table_of_all_lines_is_written(spark, monkeypatch):
+    """What is known of a class comes from the first pass; the lines are not written, grouped and shuffled again."""
+    tables, written = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df: tables.append(df.columns) or written(df))
+    rows = [(1, "a b c d e\nx y\nx y"), (2, "f g h i j\nA  b c d e"), (2, "f g h i j\nA  b c d e"), (3, "e d c b a\nx y\n\n"), (None, "a b c d e")]
+    gone = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, gone.collect())) == [(2, 1), (3, 0)]
+    assert ["doc_id", "place", "k", "l"] not in tables
