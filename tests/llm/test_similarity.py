@@ -9,6 +9,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomframe.llm import embeddings, lines, minhash
 from loomframe.llm.common import shared_dir
 from loomframe.llm.components import components
@@ -244,3 +246,26 @@ def test_no_table_of_all_lines_is_written(spark, monkeypatch):
     gone = lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, gone.collect())) == [(2, 1), (3, 0)]
     assert ["doc_id", "place", "k", "l"] not in tables
+
+
+@pytest.mark.parametrize(("percent", "least"), [(80, 5), (80, 1), (60, 1), (30, 1)])
+def test_keys_of_two_codes_equal_brute_force(spark, monkeypatch, percent, least):
+    """Sets that share one word alone, short and long lines, families of near copies, all by crowded words."""
+    monkeypatch.setattr(lines, "CROWD", 1)
+    monkeypatch.setattr(lines, "LIST", 2)
+    r = random.Random(17)
+    rows = [(i, "\n".join(" ".join(r.choice("abcdefgh") + str(k) for k in range(r.choice([1, 2, 3, 5, 6, 10]))) for _ in range(4))) for i in range(40)]
+    rows += [(100 + i, " ".join([f"c{k}" for k in range(25)] + [f"only{i}"])) for i in range(12)] + [(200, "a0 \n a0"), (201, "A0  b1")]
+    got = {(x.doc_id, x.place) for x in lines.removed_lines(frame(spark, rows, extra=False), percent=percent, min_words=least).collect()}
+    assert got == plain_lines(rows, percent, least) and got
+
+
+def test_crowded_codes_are_compared_a_bounded_number_of_times(spark, monkeypatch):
+    """Lists of crowded codes are split by a second code, so a row meets few lines however many share the first one."""
+    monkeypatch.setattr(lines, "CROWD", 8)
+    r = random.Random(23)
+    rows = [((i, 0), 10, i, sorted(r.sample(range(100), 4))) for i in range(4000)]
+    listed = lines._listed(spark.createDataFrame(rows, "at struct<doc_id long, place int>, n int, par long, prefix array<long>"), 80)[0]
+    each = [(x.early, x.rows) for x in listed.groupBy("code").agg(F.sum(F.col("early").cast("int")).alias("early"), F.count("*").alias("rows")).collect()]
+    assert sum(a * n for a, n in each) <= 8 * sum(n for _, n in each)
+    assert listed.select("x").distinct().count() == 4000
