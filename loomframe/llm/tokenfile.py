@@ -51,7 +51,7 @@ _LOW = np.uint64(1 << 31)
 _U32 = np.uint64(32)
 END_ID = 2
 #: Bytes of text whose different words are looked up together.
-RUN = 1 << 20
+RUN = 2 << 20
 
 
 def table_of(ids: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +149,14 @@ def write_file(path: str, doc_ids: list[int], lengths: np.ndarray, ids: np.ndarr
     """One file: ids are those of all documents in order."""
     symbols, freqs = table_of(ids)
     index = np.empty(len(ids), np.int32)
+    top = int(symbols[-1]) + 1 if len(symbols) else 0
+    place = None
+    if len(symbols) and symbols[0] >= 0 and top <= 1 << 24:
+        place = np.zeros(top, np.int32)
+        place[symbols] = np.arange(len(symbols), dtype=np.int32)
     for k in range(0, len(ids), 1 << 20):
-        index[k : k + (1 << 20)] = np.searchsorted(symbols, ids[k : k + (1 << 20)])
+        some = ids[k : k + (1 << 20)]
+        index[k : k + (1 << 20)] = np.searchsorted(symbols, some) if place is None else place[some]
     blocks, streams, first = [], [], 0
     for k, (n, words, state) in enumerate(encode_blocks(index, freqs)):
         crc = zlib.crc32(ids[k * BLOCK : k * BLOCK + n].astype("<u4").tobytes())
@@ -222,12 +228,12 @@ class WordTokens:
     hashes, some megabytes of text at a time; the ids of each different one come from memory, or its
     pieces, by the vocabulary's own splitting pattern, go to the library's model. All other
     texts, and those with strings of special tokens, go to the library whole, and so do all
-    texts where the vocabulary is normalised or split in another way. Memory keeps the words that were met in two
-    runs or more, and the others and the pieces of words for a while.
+    texts where the vocabulary is normalised or split in another way. Memory is sorted hashes and flat ids, some
+    32 bytes a word; once full, the half that was met last stays. Pieces of words are kept for a while.
     """
 
-    #: Words that are kept, and words that are kept for a while, until they are met again.
-    MEMORY, FRESH = 120_000, 80_000
+    #: Words that are kept, and pieces of words.
+    MEMORY, PIECES = 1_000_000, 80_000
     #: Fixed value: the splitting pattern of the vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -247,8 +253,10 @@ class WordTokens:
         self.cut = regex.compile(self.PATTERN) if own else None
         self.pieces: dict[str, bytes] = {}
         self.tokenize = self.tokenizer.model.tokenize
-        self.known: dict[int, bytes] = {}
-        self.fresh: dict[int, bytes] = {}
+        self.known = np.empty(0, np.uint64)  # hashes, ascending; of each, where its ids begin, how many, and the run that met it last
+        self.begin, self.size, self.met = (np.empty(0, np.int32) for _ in range(3))
+        self.flat = np.empty(0, np.int32)
+        self.turn = 0
 
     def _ids(self, word: str) -> bytes:
         """Ids of a word: the library's model on the byte symbols of its pieces, as its pre-tokenizer gives them."""
@@ -273,28 +281,47 @@ class WordTokens:
             return False
         return self.cut is not None and not any(s in x for s in self.special)
 
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, each: list[bytes]) -> None:
+        """Put the ids of new words into memory, before the places `at`."""
+        size = np.array([len(x) // 4 for x in each], np.int32)
+        begin = (len(self.flat) + np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(each), np.int32)])
+        self.known, self.begin, self.size = (np.insert(old, at, new) for old, new in ((self.known, hashes), (self.begin, begin), (self.size, size)))
+        self.met = np.insert(self.met, at, self.turn)
+
+    def _forget(self) -> None:
+        """Keep the words that were met last, half of what memory holds."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.MEMORY // 2])
+        size = self.size[keep]
+        edge = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        self.flat = self.flat[np.repeat(self.begin[keep] - edge[:-1], size) + np.arange(edge[-1])]
+        self.known, self.begin, self.size, self.met = self.known[keep], edge[:-1].astype(np.int32), size, self.met[keep]
+
     def _run(self, words: T.Words) -> list[np.ndarray]:
         """Ids of each document of a run."""
         different, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        known, fresh, each, new = self.known, self.fresh, [], []
-        for n, h in enumerate(different.tolist()):
-            got = known.get(h)
-            if got is None:
-                got = fresh.pop(h, None)
-                if got is None:
-                    new.append(n)
-                else:
-                    known[h] = got
-            each.append(got)
-        if new:
+        self.turn += 1
+        at = np.searchsorted(self.known, different)
+        new = np.ones(len(different), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != different[inside]
+        if new.any():
             raw, place = words.data.tobytes(), first[new]
-            for n, h, a, z in zip(new, different[new].tolist(), words.start[place].tolist(), words.end[place].tolist(), strict=True):
-                each[n] = fresh[h] = self._ids(raw[a:z].decode())
-        for some, limit in ((known, self.MEMORY), (fresh, self.FRESH), (self.pieces, self.FRESH)):
-            if len(some) > limit:
-                for old in list(islice(some, len(some) - limit // 2)):
-                    del some[old]
-        return T.gathered(each, which, words.doc_start)
+            each = [self._ids(raw[a:z].decode()) for a, z in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)]
+            self._learn(at[new], different[new], each)
+            at += np.cumsum(new) - new  # new words before it move a word on
+        self.met[at] = self.turn
+        at = at[which]
+        lengths = self.size[at]
+        edge = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        out = self.flat[np.repeat(self.begin[at] - edge[:-1], lengths) + np.arange(edge[-1])]
+        if len(self.known) > self.MEMORY:
+            self._forget()
+        if len(self.pieces) > self.PIECES:
+            for old in list(islice(self.pieces, len(self.pieces) - self.PIECES // 2)):
+                del self.pieces[old]
+        ends = edge[words.doc_start].tolist()
+        return [out[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self._plain(x) for x in texts]
@@ -325,7 +352,7 @@ def default_path() -> str:
 
 
 #: Texts tokenised at once, and bytes of text a file holds, about.
-GROUP, FILE_BYTES = 400, 16 << 20
+GROUP, FILE_BYTES = 1000, 16 << 20
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

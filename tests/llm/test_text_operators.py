@@ -268,3 +268,20 @@ def test_bpe_decodes_ids_of_no_symbol_and_words_after_spaces():
     want = b"".join(fresh._pieces(p if i == 0 else " " + p) for i, p in enumerate(text.split(" ")))
     assert model.encode(text).tobytes() == want and model.decode([*model.encode(text).tolist(), 10**6]) == text
     assert all(model.first[a << 8 | b] == model.rank_of.get(model.byte_id[a] << 20 | model.byte_id[b], -1) for a in (32, 101, 255) for b in (0, 97, 255))
+
+
+def test_words_are_tokenised_once(monkeypatch):
+    """Memory holds every word of a large vocabulary; when it is full, words are forgotten and found again."""
+    words = [f"w{chr(97 + i % 26)}{i:x}" for i in range(250_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    tokens = tokenfile.WordTokens(tokenfile.default_path())
+    asked, ids = [], tokens._ids
+    monkeypatch.setattr(tokens, "_ids", lambda w: asked.append(w) or ids(w))
+    first = [x.tolist() for x in tokens.encode(texts)]
+    assert len(asked) == len(words)
+    assert [x.tolist() for x in tokens.encode(texts)] == first and len(asked) == len(words)
+    assert first[::50] == [tokens.tokenizer.encode(x, add_special_tokens=False).ids for x in texts[::50]]
+    monkeypatch.setattr(tokens, "MEMORY", 2500)
+    for some in (texts[:3], texts[1:2], texts[2:5], texts[:1], ["", "w, W! é\tw"], texts[4:6]):
+        assert [x.tolist() for x in tokens.encode(some)] == [tokens.tokenizer.encode(x, add_special_tokens=False).ids for x in some]
+        assert len(tokens.known) <= 2500 and (tokens.known[1:] > tokens.known[:-1]).all()
