@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import text as T
-from .common import arrow_schema, id_and_text, map_batches, table
+from .common import arrow_schema, id_and_text, kept, map_batches, table
 
 #: Fixed value: the byte-level splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,14 +167,22 @@ class Bpe:
         return data.decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
+#: What a worker keeps as long as its tasks encode, decode or digest: vocabularies and numbers.
+KEEPS = "bpe"
+
+
+class Kept:
+    def __init__(self):
+        self.by_path: dict[str, Bpe] = {}
+        self.said: list[bytes] = []
 
 
 def loaded(path: str) -> Bpe:
     """A worker reads a vocabulary once."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    by_path = kept(KEEPS, Kept).by_path
+    if path not in by_path:
+        by_path[path] = Bpe(path)
+    return by_path[path]
 
 
 def default_path() -> str:
@@ -214,13 +222,11 @@ def _decoder(path: str):
     return run
 
 
-_said: list[bytes] = []
-
-
 def _numbers(n: int) -> list[bytes]:
     """The numbers below n at least as text, a comma after each; a worker writes them once."""
-    _said.extend(b"%d," % i for i in range(len(_said), n))
-    return _said
+    said = kept(KEEPS, Kept).said
+    said.extend(b"%d," % i for i in range(len(said), n))
+    return said
 
 
 def _digester(with_ids: bool):
@@ -239,17 +245,17 @@ def _digester(with_ids: bool):
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its ids, an array of int."""
-    return map_batches(id_and_text(docs, id_col, text_col), _encoder(path), ENCODED)
+    return map_batches(id_and_text(docs, id_col, text_col), _encoder(path), ENCODED, (KEEPS,))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the text they stand for; null ids are none."""
-    return map_batches(encoded.select("doc_id", "ids"), _decoder(path), DECODED)
+    return map_batches(encoded.select("doc_id", "ids"), _decoder(path), DECODED, (KEEPS,))
 
 
 def digests(decoded: DataFrame, *, with_ids: bool = False) -> DataFrame:
     """Count and hashes of ids and text, and the ids where asked for."""
-    return map_batches(decoded, _digester(with_ids), _digested(with_ids))
+    return map_batches(decoded, _digester(with_ids), _digested(with_ids), (KEEPS,))
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -261,7 +267,7 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
             batch = step(batch)
         return batch
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, _digested(with_ids))
+    return map_batches(id_and_text(docs, id_col, text_col), run, _digested(with_ids), (KEEPS,))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

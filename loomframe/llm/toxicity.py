@@ -167,16 +167,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is under the threshold, all columns as they were."""
-    bounded(docs.sparkSession)
     at = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            keep = model.score(b.column(at).cast(pa.string())) < threshold
-            if keep.any():
-                yield b.filter(pa.array(keep))
+    def clean(b):
+        keep = model.score(b.column(at).cast(pa.string())) < threshold
+        return b.filter(pa.array(keep)) if keep.any() else None
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, clean, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

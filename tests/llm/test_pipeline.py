@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import weakref
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomframe.llm import bpe, minhash, toxicity
+from loomframe.llm import bpe, common, minhash, toxicity
 from loomframe.llm.queries import queries
 
 from .helpers import alnum, prose
@@ -112,3 +114,21 @@ def test_stages_on_empty_tables(spark, tables):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "bpe"]
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+
+
+def test_workers_give_memory_back_between_stages(spark, tables, monkeypatch):
+    """A worker keeps the vocabulary for tasks that encode alone, and what scoring took goes before stages without Python."""
+    d, *_ = tables
+    df = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    runs, released = [], []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr(common, "release", lambda: released.append(1))
+    bpe.round_trip(df, bpe.default_path())
+    toxicity.keep_clean(df, toxicity.train(["a fine day", "you idiot"], [0, 1]), threshold=2)
+    encode, clean = runs
+    work = lambda run: [b.num_rows for b in run(iter([pa.record_batch({"doc_id": [1, 2], "text": ["some words", None]})]))]
+    assert work(encode) == [2]
+    held = weakref.ref(bpe.loaded(bpe.default_path()))
+    assert work(encode) == [2] and held() is not None
+    released.clear()
+    assert work(clean) == [2] and len(released) == 2 and held() is None  # for what went, and after the batch
