@@ -114,7 +114,8 @@ def _before():
 
 
 def _after():
-    return Window.orderBy(_B).rowsBetween(1, Window.unboundedFollowing)
+    """The buckets after this one, the nearest last."""
+    return Window.orderBy(F.desc(_B)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 @_apart
@@ -250,8 +251,9 @@ def _fill(df: DataFrame, name: str, by: str, out: str, forward: bool, ties: tupl
         before = _carried(b, {"v": F.max_by(name, valid)}, {"__edge": F.last("v", ignorenulls=True).over(_before())})
         own = F.last(name, ignorenulls=True).over(_window(by, *ties).rowsBetween(Window.unboundedPreceding, 0))
     else:
-        before = _carried(b, {"v": F.min_by(name, valid)}, {"__edge": F.first("v", ignorenulls=True).over(_after())})
-        own = F.first(name, ignorenulls=True).over(_window(by, *ties).rowsBetween(0, Window.unboundedFollowing))
+        before = _carried(b, {"v": F.min_by(name, valid)}, {"__edge": F.last("v", ignorenulls=True).over(_after())})
+        # the last one of the order turned round: a frame that begins at each row would be read again for each
+        own = F.last(name, ignorenulls=True).over(_window(by, *ties, descending=True).rowsBetween(Window.unboundedPreceding, 0))
     return b.withColumn("__own", own).join(F.broadcast(before), _B).withColumn(out, F.coalesce("__own", "__edge")).drop(_B, "__own", "__edge")
 
 

@@ -140,6 +140,14 @@ def test_running_values_do_not_depend_on_buckets(spark, bucket, monkeypatch):
         ordered.rolling_mean(df, "y", "i", 0, "m")
 
 
+def test_backward_fill_reads_each_row_once(spark):
+    df = spark.createDataFrame([(None, 1, 7.0), (1.0, 1, None), (1.0, 2, 5.0), (2.0, 1, None), (2.0, 2, None), (float("nan"), 1, 9.0), (float("nan"), 2, None)], "i double, j int, x double")
+    out = ordered.fill_backward(df, "x", "i", ties=("j",))
+    assert [r.x for r in out.orderBy("i", "j").collect()] == [7.0, 5.0, 5.0, 9.0, 9.0, 9.0, None]
+    # a frame up to the last row is read anew for each row, which grows with the square of a bucket
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
 def test_slices_of_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(10)], "i int").repartition(3)
     assert rows(ordered.head(df, 3, "i")) == [(0,), (1,), (2,)] and rows(ordered.tail(df, 2, "i")) == [(8,), (9,)]
