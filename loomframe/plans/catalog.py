@@ -43,7 +43,9 @@ EV = "(SELECT event_id, user_id, event_type, value, CASE WHEN event_type <> 'err
 
 
 def r(c, digits: int = 4):
-    return F.round(c, digits)
+    """Rounded as SQL does: what a negative number leaves of itself is -0.0, which F.round loses."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.abs(c), digits) * F.signum(c)
 
 
 # projection and slicing
@@ -443,7 +445,7 @@ def _vector(name: str, expression, sql: str):
 
 
 def _rounded(c):
-    return F.transform(c, lambda e: F.round(e, 5))
+    return F.transform(c, lambda e: r(e, 5))
 
 
 _vector("q83_array_add", lambda x: _rounded(A.zipped("add", x, x)), "list_transform(x, lambda e: round(e + e, 5))")

@@ -79,3 +79,21 @@ def test_linear_algebra_reads_whole_embeddings(spark):
         assert np.isclose(det[k], np.linalg.det(g), rtol=1e-6, atol=1e-4)
         assert np.allclose(np.reshape(inv[k], (64, 64)) @ g, np.eye(64), atol=1e-6)
         assert np.allclose(g @ solved[k], g[0], atol=1e-6) and np.allclose(svd[k], np.linalg.svd(g)[1])
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    """Numbers that round to nothing, as SQL has them: -0.0 for negative ones."""
+    import duckdb
+
+    tiny = [(-1) ** i * 2.0 ** -(18 + i % 7) for i in range(64)]
+    rows = [(0, tiny, 0), (1, [-x for x in tiny], 1), (2, [0.0, -0.0] * 32, 1), (3, [(i - 31) / 64 for i in range(64)], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    signed = 0
+    for name in "q83_array_add q83b_array_sub q87_abs_neg q89_sum q89b_mean q91_dot q92b_axis_sum q92c_at q92d_put q93_slice q93b_slice_back q94_flatten q95_reshape q96_transpose q96b_slice".split():
+        out = catalog.QUERIES[name](spark, str(tmp_path))
+        got = sorted(repr(tuple(r)) for r in out.collect())
+        assert got == sorted(repr(r) for r in con.execute(f"select {', '.join(out.columns)} from ({catalog.SQL[name]})").fetchall()), name
+        signed += any("-0.0," in r for r in got)
+    assert signed >= 7
