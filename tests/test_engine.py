@@ -176,6 +176,63 @@ def test_group_aggregates(spark):
     assert sorted(r.transform_age for r in moved.collect()) == [0, 0, 0, 10]
 
 
+def _many_groups(spark):
+    def value(i):
+        return (None if i % 11 == 0 else f"k{i % 11}", None if i % 13 == 5 else 2**53 + 1 + i, float("nan") if i % 17 == 3 else i / 4, None if i % 19 == 2 else i % 2 == 0)
+
+    big = [("big", i, 1.0, True) for i in range(50)]
+    return spark.createDataFrame([*map(value, range(200)), *big, ("one", 7, None, None)], "k string, n long, x double, b boolean").repartition(3)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_group_apply_takes_many_groups_at_a_time(spark, batch):
+    import pandas as pd
+
+    def told(g):
+        if g.k.iloc[0] == "k1":
+            return pd.DataFrame()
+        g["n"] = g["n"] - 1  # the frame is the function's own
+        kinds = f"{g.dtypes.n} {g.dtypes.x} {g.dtypes.b} {list(g.index)[-1]}"
+        return pd.DataFrame({"kinds": kinds, "k": g.k.iloc[0], "n": g.n.max() if len(g) > 1 else None, "x": g.x.sum(), "m": [len(g), g.b.isna().sum()]})
+
+    df, schema = _many_groups(spark), "k string, n long, x double, m long, kinds string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        out = grouping.group_apply(df, ["k"], told, schema)
+        got = sorted(map(repr, rows(out)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(repr, rows(df.groupBy("k").applyInPandas(told, schema))))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="columns"):
+        grouping.group_apply(df, ["k"], lambda g: g.rename(columns={"x": "y"}), df.schema).collect()
+    lists = df.groupBy("k").agg(F.collect_list("n").alias("n"))
+    assert grouping.group_apply(lists, ["k"], lambda g: g, lists.schema).count() == lists.count()
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_group_transform_rows_takes_many_groups_at_a_time(spark, batch):
+    df = _many_groups(spark).withColumn("id", F.expr("coalesce(n, 0) * 1000 + coalesce(x, 0)")).withColumn("at", F.lit("2024-01-02 03:04:05").cast("timestamp")).cache()
+    calls = {
+        "n": (lambda s: s.astype("object").where(s.notna(), None).map(lambda v: None if v is None else v - 1), "long"),
+        "x": (lambda s: s.rank(method="min"), "double"), "b": (lambda s: [str(s.dtype)] * len(s), "string"),
+    }
+    for name, (fn, kind) in calls.items():
+        schema = f"k string, n long, x double, b boolean, {df.select('id').schema.simpleString()[7:-1].replace(':', ' ')}, at timestamp, out {kind}"
+        want = df.groupBy("k").applyInPandas((lambda fn, name: lambda g: g.assign(out=list(fn(g[name]))))(fn, name), schema)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        try:
+            out = grouping.group_transform_rows(df, ["k"], name, fn, kind, "out")
+            got = sorted(map(repr, rows(out.select("k", "b", "at", "out"))))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted(map(repr, rows(want.select("k", "b", "at", "out")))), name
+        assert sorted(map(repr, rows(out.drop("out")))) == sorted(map(repr, rows(df)))  # the rows as they were
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="values for"):
+        grouping.group_transform_rows(df, ["k"], "x", lambda s: s[:1], "double").collect()
+
+
 def test_joins(spark):
     left = spark.createDataFrame([("a||b", "c", 10), ("a", "b||c", 20)], "k1 string, k2 string, v1 long")
     right = spark.createDataFrame([("a||b", "c", 100), ("a", "b||c", 200)], "k1 string, k2 string, v2 long")
