@@ -53,7 +53,8 @@ def quantile(c: Column, q: float) -> Column:
 
 
 def iqr(c: Column) -> Column:
-    return quantile(c, 0.75) - quantile(c, 0.25)
+    both = F.percentile(c, [0.25, 0.75])  # one table of values for both
+    return _or_zero(both[1]) - _or_zero(both[0])
 
 
 def modes(df: DataFrame, name: str) -> DataFrame:

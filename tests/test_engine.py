@@ -176,6 +176,15 @@ def test_group_aggregates(spark):
     assert sorted(r.transform_age for r in moved.collect()) == [0, 0, 0, 10]
 
 
+def test_quantiles_of_a_column_share_a_table_of_values(spark):
+    df = spark.createDataFrame([(1, None), (1, 1.0), (1, 2.0), (1, 4.0), (2, None)], "k int, x double")
+    spread, whole = df.groupBy("k").agg(S.iqr(F.col("x")).alias("v")), series.describe(df, "x")
+    for out in (spread, whole):
+        assert out._jdf.queryExecution().executedPlan().toString().count("partial_percentile(") == 1
+    assert sorted(rows(spread)) == [(1, 1.5), (2, 0.0)]
+    assert rows(whole.select("q25", "median", "q75")) == [(1.5, 2.0, 3.0)]
+
+
 def _many_groups(spark):
     def value(i):
         return (None if i % 11 == 0 else f"k{i % 11}", None if i % 13 == 5 else 2**53 + 1 + i, float("nan") if i % 17 == 3 else i / 4, None if i % 19 == 2 else i % 2 == 0)
